@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import bpe, huffman
+from sedge.llm import bpe, huffman, lines, pii
 from sedge.llm.common import documents, shared_dir
 
 END_ID = 1
@@ -36,9 +36,23 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.line_quality(documents(spark, sf_dir, "doc_id", "text", "source"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "kept")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.with_spans(documents(spark, sf_dir, "doc_id", "text"), name="found").drop("text")
+    counts = [F.size(pii.of_kind(F.col("found"), k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    base = pii.joined(pii.of_kind(F.col("found"), *pii.BASE))
+    return out.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"))
+
+
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_bpe": op3_bpe,
+    "op5_lines": op5_lines,
+    "op7_pii": op7_pii,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_lines": lines.SQL}
