@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +28,43 @@ from sedge.llm.common import Recent, list_array, small_batches
 END = "</w>"
 #: What the tokenizer's \s matches (Unicode White_Space).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Python's str.split() also splits here, White_Space doesn't.
-NOT_SPACE = regex.compile("[\x1c-\x1f]")
 CACHED_CHUNKS = 300_000
+#: Letters whose lower case and classes no library disagrees on, then at most one symbol of its own pre-token.
+PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,]?)")
 
 
-def text_chunks(text: str) -> list[str]:
-    """The stretches between the tokenizer's white space; no token crosses it."""
-    return text.split() if NOT_SPACE.search(text) is None else [c for c in regex.split(f"[{SPACE}]+", text) if c]
+class Chunks:
+    """Ids of stretches between white space, which no token crosses, kept from batch to batch.
+
+    stems(list of lower-case letter runs) and whole(list of other stretches) give ids as little-endian 32-bit integers.
+    """
+
+    def __init__(self, stems, whole):
+        self.stems, self.whole, self.chunks, self.known = stems, whole, Recent(CACHED_CHUNKS), Recent(CACHED_CHUNKS)
+        self.marks = dict(zip(".,", whole([".", ","]), strict=True)) | {"": b""}
+
+    def make(self, chunks: list[str]) -> list[bytes]:
+        matches = list(map(PLAIN.fullmatch, chunks))
+        lowered = [m[1].lower() if m else "" for m in matches]
+        wanted = list(dict.fromkeys(x for x in lowered if x))
+        stems = dict(zip(wanted, self.known.get(wanted, self.stems), strict=True)) if wanted else {}
+        others = [c for c, m in zip(chunks, matches, strict=True) if m is None]
+        rest = iter(self.whole(others) if others else ())
+        return [next(rest) if m is None else stems[x] + self.marks[m[2]] for m, x in zip(matches, lowered, strict=True)]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a batch of texts end to end, and the n + 1 offsets; null counts as empty."""
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        split = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        parts = self.chunks.get(coded.dictionary.to_pylist(), self.make)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        pool, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
+        counts = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        flat = pool[np.repeat(starts[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        return flat, ends[split - split[0]]
 
 
 def byte_letters() -> dict[int, str]:
@@ -147,7 +178,7 @@ class Bpe:
             if (units := self.units(text)) and self.own(token):
                 words[tuple(symbols[u] for u in units)] = token
         self.automaton = SuffixAutomaton(words, len(symbols))
-        self.chunks = Recent(CACHED_CHUNKS)
+        self.chunks = Chunks(lambda stems: [np.array(self.word(s), "<u4").tobytes() for s in stems], lambda other: [np.array(self.chunk(c), "<u4").tobytes() for c in other])
 
     def units(self, text: str) -> list[str]:
         body = text[: -len(END)] if text.endswith(END) and len(text) > len(END) else text
@@ -233,7 +264,7 @@ class Bpe:
         return known
 
     def chunk(self, text: str) -> list[int]:
-        """The ids of a stretch without white space."""
+        """The ids of a stretch of text; white space in it only parts tokens."""
         out: list[int] = []
         for part in self.split_special.split(text) if self.split_special and "<" in text else [text]:
             if part in self.special:
@@ -247,11 +278,9 @@ class Bpe:
                     out += self.word(piece)
         return out
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        chunks = text_chunks(text)
-        known = self.chunks.fill(chunks, lambda new: [np.array(self.chunk(c), "<i4").tobytes() for c in new])
-        return b"".join(map(known.__getitem__, chunks))
+    def encode(self, text: str) -> list[int]:
+        """The ids of one text, without the caches."""
+        return [i for c in text.split(" ") if c for i in self.chunk(c)]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.texts.__getitem__, ids))
@@ -270,9 +299,8 @@ def bpe_encode(text: Column | str, path: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = loaded(path)
         for texts in batches:
-            parts = [bpe.encode(t or "") for t in texts.to_pylist()]
-            sizes = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
-            yield list_array(np.frombuffer(b"".join(parts), "<i4"), np.concatenate([[0], np.cumsum(sizes)]))
+            ids, offsets = bpe.chunks.ids(texts)
+            yield list_array(ids.astype(np.int32), offsets)
 
     return encode(text)
 

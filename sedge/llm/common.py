@@ -139,18 +139,19 @@ class Recent:
     def __init__(self, limit: int):
         self.limit, self.young, self.old = limit, {}, {}
 
-    def fill(self, keys: list[str], make) -> dict:
-        """A dict that has all keys; make(missing keys) gives the values of the unknown ones."""
+    def get(self, keys: list, make) -> list:
+        """The values of distinct keys; make(missing keys) gives the unknown ones."""
         if len(self.young) > self.limit:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
+        found = list(map(young.get, keys))
         missing = []
-        for k in set(keys):
-            if k not in young:
+        for k, v in zip(keys, found, strict=True):
+            if v is None:
                 if (v := old.get(k)) is None:
                     missing.append(k)
                 else:
                     young[k] = v
         if missing:
             young.update(zip(missing, make(missing), strict=True))
-        return young
+        return found if not missing and None not in found else list(map(young.__getitem__, keys))

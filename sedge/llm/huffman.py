@@ -25,13 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm.bpe import text_chunks
-from sedge.llm.common import Recent, list_array, remove_dir, shared_dir, small_batches
+from sedge.llm.bpe import END, Chunks
+from sedge.llm.common import remove_dir, shared_dir, small_batches
 
 MAX_BITS = 18
 CHECKPOINT = 512
 BLOCK_TOKENS = 1 << 15
-CACHED_CHUNKS = 300_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -135,35 +134,59 @@ def tokenizer(path: str):
     made = Tokenizer.from_file(path)
     made.no_truncation()
     made.no_padding()
-    return made, Recent(CACHED_CHUNKS)
+    return made
 
 
-def tokenized(df: DataFrame, path: str, end: int | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ids (binary, little-endian unsigned 32-bit) of each whole text by the tokenizers library.
+@functools.lru_cache(maxsize=1)
+def chunks(path: str) -> Chunks:
+    """The library behind the cache of stretches; letter runs go to it many to a text and are parted at word ends."""
+    tok = tokenizer(path)
+    ends = np.zeros(tok.get_vocab_size(), bool)
+    ends[[i for t, i in tok.get_vocab().items() if t.endswith(END)]] = True
+
+    def whole(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def stems(words: list[str]) -> list[bytes]:
+        ids = [e.ids for e in tok.encode_batch_fast([" ".join(words[k : k + 200]) for k in range(0, len(words), 200)], add_special_tokens=False)]
+        flat = np.array([i for x in ids for i in x], "<u4")
+        data, last = flat.tobytes(), (np.flatnonzero(ends[flat]) + 1) * 4
+        if len(last) != len(words):
+            raise ValueError("word ends don't part these words")
+        return [data[s:e] for s, e in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)]
+
+    return Chunks(stems, whole)
 
-    No token of a tokenizer that drops white space crosses it, so each stretch between white space is encoded once and kept.
-    """
-    small_batches(df.sparkSession)
-    last = b"" if end is None else np.array([end], "<u4").tobytes()
+
+def tokenized(df: DataFrame, path: str, end: int | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and ids (binary, little-endian unsigned integers of id_width() bytes) of each whole text by the tokenizers library."""
+    small_batches(df.sparkSession, 2000)
+    kind = f"<u{id_width(path, end)}"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, known = tokenizer(path)
+        known = chunks(path)
         for batch in batches:
-            chunks = [text_chunks(t or "") for t in batch.column(1).to_pylist()]
-            table = known.fill([c for cs in chunks for c in cs], lambda new: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False)])
-            ids = [b"".join(map(table.__getitem__, cs)) + last for cs in chunks]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            ids, offsets = known.ids(batch.column(1))
+            if end is not None:
+                ids, offsets = np.insert(ids, offsets[1:], end), offsets + np.arange(len(offsets))
+            data = ids.astype(kind)
+            values = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "ids"])
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "doc_id long, ids binary")
 
 
-def id_counts(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def id_width(path: str, end: int | None = None) -> int:
+    return 2 if max(tokenizer(path).get_vocab_size(), end or 0) < 1 << 16 else 4
+
+
+def id_counts(tokens: DataFrame, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """All ids and how often each occurs; at most one row for each id of the vocabulary comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4")
+            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), f"<u{width}")
             more = np.bincount(ids)
             if len(more) > len(total):
                 total, more = more, total
@@ -175,10 +198,10 @@ def id_counts(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["id"].to_numpy(), rows["n"].to_numpy()
 
 
-def write_token_files(tokens: DataFrame, folder: str, limit: int = MAX_BITS) -> None:
-    """Write tokens (doc_id, ids binary) as a file set in ascending doc_id order."""
+def write_token_files(tokens: DataFrame, folder: str, width: int = 4, limit: int = MAX_BITS) -> None:
+    """Write tokens (doc_id, ids of so many bytes each) as a file set in ascending doc_id order."""
     spark = tokens.sparkSession
-    ids, counts = id_counts(tokens)
+    ids, counts = id_counts(tokens, width)
     lengths = code_lengths(counts, limit)
     spark.createDataFrame(pa.table({"id": ids.astype(np.int64), "length": lengths.astype(np.int32)})).coalesce(1).write.parquet(f"{folder}/codebook")
     book = spark.sparkContext.broadcast((ids, lengths))  # one entry for each id of the vocabulary
@@ -201,7 +224,7 @@ def write_token_files(tokens: DataFrame, folder: str, limit: int = MAX_BITS) ->
         for batch in batches:
             for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 docs.append(d)
-                held.append(np.frombuffer(x, "<u4"))
+                held.append(np.frombuffer(x, f"<u{width}"))
                 n += len(held[-1])
                 if n >= BLOCK_TOKENS:
                     yield block()
@@ -251,7 +274,7 @@ def token_files(df: DataFrame, path: str, end: int, folder: str) -> None:
     spark = df.sparkSession
     tokens = shared_dir(spark, "tokens")
     tokenized(df, path, end).write.option("compression", "zstd").parquet(tokens)
-    write_token_files(spark.read.parquet(tokens), folder)
+    write_token_files(spark.read.parquet(tokens), folder, id_width(path, end))
     remove_dir(spark, tokens)
 
 
