@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import bpe, huffman, lines, pii
-from sedge.llm.common import documents, shared_dir
+from sedge.llm import bpe, huffman, langid, lines, pii, toxicity
+from sedge.llm.common import documents, held_out, shared_dir
 
 END_ID = 1
 
@@ -41,6 +41,12 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "kept")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.train(documents(spark, sf_dir, "doc_id", "text", "lang"))
+    out = langid.predicted(documents(spark, sf_dir, "doc_id", "text"), model)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.with_spans(documents(spark, sf_dir, "doc_id", "text"), name="found").drop("text")
     counts = [F.size(pii.of_kind(F.col("found"), k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
@@ -48,11 +54,20 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    out = toxicity.scored(docs, model)
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
+
+
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_bpe": op3_bpe,
     "op5_lines": op5_lines,
+    "op6_language": op6_language,
     "op7_pii": op7_pii,
+    "op8_toxicity": op8_toxicity,
 }
 
 SQL: dict[str, str] = {"op5_lines": lines.SQL}
