@@ -2,7 +2,7 @@
 
 The model learns from a bounded sample: about train_docs documents of each language (chosen by a hash of doc_id, so
 alike at any size); one sparse vector for each comes to the driver. A document whose best cosine is below the
-rejection limit is rejected; its nearest language is still named.
+rejection limit is rejected, if its text is long enough for a cosine to tell; its nearest language is still named.
 
 Defined results: `und` and score 0 for a null text or one without a letter; texts of unknown script have cosine near
 0 and are rejected; without any training row every text is `und`.
@@ -122,8 +122,8 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     return LanguageModel(languages, owner, every, idf, slack * lowest)
 
 
-def predicted(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """df with lang_pred, score (the cosine, 0 to 1), rejected; without the text."""
+def predicted(df: DataFrame, model: LanguageModel, text: str = "text", judged: int = 100) -> DataFrame:
+    """df with lang_pred, score (the cosine, 0 to 1), rejected (by distance only from judged code points on)."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)  # some centroids a language
     small_batches(spark)
@@ -141,6 +141,6 @@ def predicted(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     return (
         out.withColumn("lang_pred", F.when(F.col("_l"), F.col("_p.lang")).otherwise("und"))
         .withColumn("score", F.when(F.col("_l"), F.col("_p.score")).otherwise(0.0))
-        .withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("score") < model.limit))
+        .withColumn("rejected", (F.col("lang_pred") == "und") | ((F.col("score") < model.limit) & (F.length(text) >= judged)))
         .drop("_p", "_l")
     )

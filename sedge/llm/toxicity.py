@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: a document is toxic if any sentence is, by noisy-or of sentence scores.
 
 A sentence's score is the logistic of the sum of its words' weights; each word has three hashed features: itself and
-its first four and five bytes, so that inflected forms share weight. Weights are trained on the driver from document
+its first four and five bytes, so that inflected forms share weight. No weight is below 0, so the
+words around an offending one can't excuse it. Weights are trained on the driver from document
 labels alone, on a bounded sample: about train_docs labelled documents chosen by a hash of doc_id, as hashed ids.
 
 Defined results: a null or empty text has the score of no sentence, 0; repeated label rows of a document count as
@@ -78,7 +79,7 @@ class ToxicityModel:
         return -np.expm1(clean), p, of_text, bounds
 
 
-def fitted(features: np.ndarray, sentence: np.ndarray, document: np.ndarray, label: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 2e-5, least: int = 3) -> ToxicityModel:
+def fitted(features: np.ndarray, sentence: np.ndarray, document: np.ndarray, label: np.ndarray, rounds: int = 80, rate: float = 0.3, decay: float = 3e-5, least: int = 5) -> ToxicityModel:
     """Noisy-or maximum likelihood by Adam over the features of least documents or more; document: of each sentence."""
     size, n_docs = 1 << BITS, len(label)
     pairs = np.unique(features.ravel() * n_docs + np.repeat(document[sentence], 3))
@@ -97,6 +98,7 @@ def fitted(features: np.ndarray, sentence: np.ndarray, document: np.ndarray, lab
         g = np.append(np.bincount(flat, push[owner], minlength=len(used)), push.sum()) + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w[:-1] = np.maximum(w[:-1], 0)
     weights = np.zeros(size)
     weights[used] = w[:-1]
     return ToxicityModel(weights, float(w[-1]))
