@@ -23,14 +23,38 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import Recent, list_array, small_batches
+from sedge.llm.common import Recent, list_array, small_batches, utf8
 
 END = "</w>"
 #: What the tokenizer's \s matches (Unicode White_Space).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CACHED_CHUNKS = 300_000
-#: Letters whose lower case and classes no library disagrees on, then at most one symbol of its own pre-token.
-PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,]?)")
+CACHED_CHUNKS = 400_000
+#: Lower-case letters on whose class and form no library disagrees.
+PLAIN = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+GAP = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+
+
+def spread(texts: pa.Array) -> pa.Array:
+    """The texts with ASCII in lower case and a space between a letter and a full stop or comma that ends a word.
+
+    Neither changes any id: the tokenizer lower-cases, and letters and symbols are never in one pre-token. Texts
+    that may hold a special token's string keep their case.
+    """
+    data, offsets = utf8(texts)
+    if not len(data):
+        return texts
+    mark = (data == 44) | (data == 46)
+    at = np.flatnonzero(mark[1:-1] & GAP[data[2:]]) + 1
+    before, second = data[at - 1], data[np.maximum(at - 2, 0)]
+    latin = (second == 0xC3) & (at >= 2) & (before >= 0x80) & (before <= 0xBF) & (before != 0x97) & (before != 0xB7)
+    at = at[(LETTER[before] | latin) & ~np.isin(at, offsets)]
+    data = np.insert(data, at, 32) if len(at) else data
+    offsets = offsets + np.searchsorted(at, offsets, "left")
+    if b"<|" not in (raw := data.tobytes()):
+        raw = LOWER[data].tobytes()
+    return pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
 
 
 class Chunks:
@@ -40,25 +64,21 @@ class Chunks:
     """
 
     def __init__(self, stems, whole):
-        self.stems, self.whole, self.chunks, self.known = stems, whole, Recent(CACHED_CHUNKS), Recent(CACHED_CHUNKS)
-        self.marks = dict(zip(".,", whole([".", ","]), strict=True)) | {"": b""}
+        self.stems, self.whole, self.known = stems, whole, Recent(CACHED_CHUNKS)
 
     def make(self, chunks: list[str]) -> list[bytes]:
-        matches = list(map(PLAIN.fullmatch, chunks))
-        lowered = [m[1].lower() if m else "" for m in matches]
-        wanted = list(dict.fromkeys(x for x in lowered if x))
-        stems = dict(zip(wanted, self.known.get(wanted, self.stems), strict=True)) if wanted else {}
-        others = [c for c, m in zip(chunks, matches, strict=True) if m is None]
-        rest = iter(self.whole(others) if others else ())
-        return [next(rest) if m is None else stems[x] + self.marks[m[2]] for m, x in zip(matches, lowered, strict=True)]
+        plain = [PLAIN.fullmatch(c) is not None for c in chunks]
+        stems, others = [c for c, p in zip(chunks, plain, strict=True) if p], [c for c, p in zip(chunks, plain, strict=True) if not p]
+        made, rest = iter(self.stems(stems) if stems else ()), iter(self.whole(others) if others else ())
+        return [next(made if p else rest) for p in plain]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch of texts end to end, and the n + 1 offsets; null counts as empty."""
-        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        lists = pc.ascii_split_whitespace(spread(texts))
         split = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         at = coded.indices.to_numpy()
-        parts = self.chunks.get(coded.dictionary.to_pylist(), self.make)
+        parts = self.known.get(coded.dictionary.to_pylist(), self.make)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         pool, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
         counts = sizes[at]

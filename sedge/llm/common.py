@@ -145,13 +145,13 @@ class Recent:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         found = list(map(young.get, keys))
-        missing = []
-        for k, v in zip(keys, found, strict=True):
-            if v is None:
-                if (v := old.get(k)) is None:
-                    missing.append(k)
-                else:
-                    young[k] = v
-        if missing:
-            young.update(zip(missing, make(missing), strict=True))
-        return found if not missing and None not in found else list(map(young.__getitem__, keys))
+        if None not in found:
+            return found
+        new = [k for k, v in zip(keys, found, strict=True) if v is None]
+        again = list(map(old.get, new))
+        missing = [k for k, v in zip(new, again, strict=True) if v is None]
+        made = iter(make(missing) if missing else ())
+        values = [next(made) if v is None else v for v in again]
+        young.update(zip(new, values, strict=True))
+        rest = iter(values)
+        return [next(rest) if v is None else v for v in found]

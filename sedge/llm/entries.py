@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import bpe, huffman, langid, lines, pii, toxicity
+from sedge.llm import bpe, digest, huffman, langid, lines, pii, toxicity
 from sedge.llm.common import documents, held_out, shared_dir
 
 END_ID = 1
@@ -36,6 +36,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.fingerprints(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.line_quality(documents(spark, sf_dir, "doc_id", "text", "source"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "kept")
@@ -64,6 +68,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_bpe": op3_bpe,
+    "op4_digest": op4_digest,
     "op5_lines": op5_lines,
     "op6_language": op6_language,
     "op7_pii": op7_pii,
