@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import bpe, digest, huffman, langid, lines, pii, toxicity
+from sedge.llm import bpe, digest, huffman, langid, lines, mixing, pii, toxicity
 from sedge.llm.common import documents, held_out, shared_dir
 
 END_ID = 1
@@ -20,6 +20,12 @@ def tokenizer_path() -> str:
     return os.environ.get("SEDGE_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixed_documents(documents(spark, sf_dir, "doc_id", "source", "text"))
+    names = {"_tokens": "n_tokens", "_pass": "pass", "_block": "block", "_slot": "slot", "_weight": "weight", "_position": "position"}
+    return out.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), *[F.col(a).alias(b) for a, b in names.items()])
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "token-files")
     huffman.token_files(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path(), END_ID, folder)
@@ -66,6 +72,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_token_files": op2_token_files,
     "op3_bpe": op3_bpe,
     "op4_digest": op4_digest,
@@ -75,4 +82,4 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
 }
 
-SQL: dict[str, str] = {"op5_lines": lines.SQL}
+SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op5_lines": lines.SQL}
