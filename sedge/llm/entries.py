@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import bpe, digest, huffman, langid, lines, mixing, pii, toxicity
+from sedge.llm import bpe, digest, huffman, langid, lines, mixing, neardup, pii, toxicity
 from sedge.llm.common import documents, held_out, shared_dir
 
 END_ID = 1
@@ -71,6 +71,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), words=3, similarity=0.85)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_files": op2_token_files,
@@ -80,6 +84,7 @@ QUERIES = {
     "op6_language": op6_language,
     "op7_pii": op7_pii,
     "op8_toxicity": op8_toxicity,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 
 SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op5_lines": lines.SQL}
