@@ -82,12 +82,20 @@ class ToxicityModel:
 def fitted(features: np.ndarray, sentence: np.ndarray, document: np.ndarray, label: np.ndarray, rounds: int = 80, rate: float = 0.3, decay: float = 3e-5, least: int = 5) -> ToxicityModel:
     """Noisy-or maximum likelihood by Adam over the features of least documents or more; document: of each sentence."""
     size, n_docs = 1 << BITS, len(label)
-    pairs = np.unique(features.ravel() * n_docs + np.repeat(document[sentence], 3))
-    often = np.bincount(pairs // n_docs, minlength=size) >= least
-    flat, owner = features.ravel(), np.repeat(sentence, 3)
-    keep = often[flat]
+    flat, owner = features.ravel(), np.repeat(sentence.astype(np.int32), 3)
+    often, last = np.zeros(size, np.int32), np.full(size, -1, np.int32)
+    of_doc = document[sentence]
+    for d, (s, e) in enumerate(zip(*(np.searchsorted(of_doc, np.arange(n_docs), side) for side in ("left", "right")), strict=True)):
+        own = flat[3 * s : 3 * e]
+        own = own[last[own] != d]
+        last[own] = d
+        often[np.unique(own)] += 1
+    keep = often[flat] >= least
     flat, owner = flat[keep], owner[keep]
-    used, flat = np.unique(flat, return_inverse=True)
+    used = np.flatnonzero(often >= least)
+    place = np.zeros(size, np.int32)
+    place[used] = np.arange(len(used))
+    flat = place[flat]
     w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     w[-1] = -6.0
     for step in range(1, rounds + 1):
@@ -104,7 +112,7 @@ def fitted(features: np.ndarray, sentence: np.ndarray, document: np.ndarray, lab
     return ToxicityModel(weights, float(w[-1]))
 
 
-def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", train_docs: int = 8000) -> ToxicityModel:
+def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", train_docs: int = 4000) -> ToxicityModel:
     """Fit on about train_docs labelled documents, never on held-out ones."""
     small_batches(df.sparkSession)
     marks = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(toxic).cast("int").alias("_toxic"))
@@ -124,10 +132,10 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     label = found["label"].to_numpy()
     if not len(label) or not label.any():
         return ToxicityModel(np.zeros(1 << BITS), -30.0)
-    flat = found["features"].combine_chunks().flatten().to_numpy().astype(np.int64).reshape(-1, 3)
+    flat = found["features"].combine_chunks().flatten().to_numpy().reshape(-1, 3)
     lists = found["sentences"].combine_chunks()
     document = np.repeat(np.arange(len(label)), np.diff(lists.offsets.to_numpy()))
-    local = lists.flatten().to_numpy().astype(np.int64)
+    local = lists.flatten().to_numpy()
     new = np.concatenate([[True], (local[1:] != local[:-1]) | (document[1:] != document[:-1])]) if len(local) else np.zeros(0, bool)
     sentence = np.cumsum(new) - 1
     return fitted(flat, sentence, document[new], label)
