@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import bpe, digest, huffman, langid, lines, mixing, neardup, pii, toxicity
+from sedge.llm import bpe, digest, huffman, langid, lines, mixing, neardup, pii, repeats, toxicity
 from sedge.llm.common import documents, held_out, shared_dir
 
 END_ID = 1
@@ -75,6 +75,11 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), words=3, similarity=0.85)
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(documents(spark, sf_dir, "doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_files": op2_token_files,
@@ -85,6 +90,7 @@ QUERIES = {
     "op7_pii": op7_pii,
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_repeats": op10_repeats,
 }
 
 SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op5_lines": lines.SQL}
