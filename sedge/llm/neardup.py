@@ -103,21 +103,23 @@ def regions(reps: DataFrame, depth: int) -> DataFrame:
     score = large.groupBy("rep").agg(F.count("*").alias("score"))
     ranked = large.join(score, "rep").withColumn("share", F.pmod(F.xxhash64("rep", "tree"), F.lit(HUBS)))
     hubs = ranked.groupBy("tree", "key", "share").agg(F.max(F.struct("score", (-F.col("rep")).alias("less"))).alias("m")).select("tree", F.col("key").alias("root"), (-F.col("m.less")).alias("rep"))
-    level = saved(large.join(reps.select("rep", "sig"), "rep").select("tree", F.col("key").alias("root"), "key", "n", "rep", "sig"), "regions")
+    level = large.join(reps.select("rep", "sig"), "rep").select("tree", F.col("key").alias("root"), "key", "n", "rep", "sig", F.lit(depth).alias("depth"))
     done = []
-    while depth < DEEPEST:
-        nth = F.get("sig", F.pmod(4 * F.col("tree") + F.lit(depth), F.lit(COORDINATES)))
-        level = level.withColumn("child", F.xxhash64("key", nth))
+    while True:
+        # the larger the region, the more coordinates at once
+        steps = F.when(F.col("n") > 16 * REGION, 4).when(F.col("n") > 4 * REGION, 2).otherwise(1)
+        place = [F.pmod(4 * F.col("tree") + F.col("depth") + i, F.lit(COORDINATES)) for i in range(4)]
+        child = F.xxhash64("key", *[F.when(steps > i, F.get("sig", p)) for i, p in enumerate(place)])
+        level = saved(level.withColumns({"child": child, "depth": F.col("depth") + steps}), "regions")
         level = level.join(level.groupBy("tree", "child").agg(F.count("*").alias("of_child")), ["tree", "child"])
-        pool = F.pmod("child", F.ceil(2 * F.col("n") / REGION))
-        level = saved(level.withColumn("region", F.when(F.col("of_child") <= REGION, F.xxhash64(F.lit("pool"), "key", pool))), "regions")
+        pool = F.xxhash64(F.lit("pool"), "key", F.pmod("child", F.ceil(2 * F.col("n") / REGION)))
+        # alike in DEEPEST coordinates: any split will do, as the hubs join its parts
+        rest = F.xxhash64(F.lit("rest"), "child", F.pmod(F.xxhash64("rep"), F.ceil(F.col("of_child") / REGION)))
+        level = saved(level.withColumn("region", F.when(F.col("of_child") <= REGION, pool).when(F.col("depth") >= DEEPEST, rest)), "regions")
         done.append(level.where("region is not null").select("tree", "root", "region", "rep"))
-        level = level.where("region is null").select("tree", "root", F.col("child").alias("key"), F.col("of_child").alias("n"), "rep", "sig")
-        depth += 1
+        level = level.where("region is null").select("tree", "root", F.col("child").alias("key"), F.col("of_child").alias("n"), "rep", "sig", "depth")
         if level.isEmpty():
             break
-    else:  # alike in DEEPEST coordinates: any split will do, as the hubs join its parts
-        done.append(level.select("tree", "root", F.xxhash64(F.lit("rest"), "key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / REGION))).alias("region"), "rep"))
     parts = done[0]
     for more in done[1:]:
         parts = parts.unionByName(more)
@@ -171,7 +173,7 @@ def plausible(members: DataFrame, reps: DataFrame, similarity: float) -> DataFra
         n = int(good.sum())
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, tree, np.int32)), pa.array(np.full(n, region)), pa.array(rep[good])], ["tree", "region", "rep"])
 
-    return by_region(saved(members.join(reps.select("rep", "sig"), "rep"), "regions"), ["rep", "sig"], "tree int, region long, rep long", near)
+    return by_region(members.join(reps.select("rep", "sig"), "rep"), ["rep", "sig"], "tree int, region long, rep long", near)
 
 
 def true_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -210,7 +212,7 @@ def true_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 front = linked[front].any(0) & ~seen
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
 
-    return by_region(saved(members.join(sets, "rep"), "regions"), ["rep", "shingles"], "a long, b long", link)
+    return by_region(members.join(sets, "rep"), ["rep", "shingles"], "a long, b long", link)
 
 
 def sets_of(df: DataFrame, reps: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
