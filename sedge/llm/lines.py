@@ -114,7 +114,8 @@ def line_words_lost(df: DataFrame, host: str = "source", text: str = "text", lea
 def line_quality(
     df: DataFrame, host: str = "source", text: str = "text", least: int = 30, share: float = 0.005, min_words: int = 20, max_lost: float = 2 / 3
 ) -> DataFrame:
-    """df's rows without the text, with the base counts, n_lost_words, kept."""
+    """df's rows without the text, with the base counts, n_lost_words, kept; columns of the names used here are replaced."""
+    df = df.drop("_host", "_doc", "_salt", "_counts", "lost", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "kept")
     lost = line_words_lost(df, host, text, least, share).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     # copies of one text can be many: they are spread over the salts before the join
     docs = keyed(base_counts(df, text), host, text).drop(text).withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns if c != text]), F.lit(SALTS)))

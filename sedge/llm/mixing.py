@@ -91,9 +91,10 @@ def hashed(*parts: Column) -> Column:
 
 
 def mixed_documents(df: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """df's rows, each as often as its source's budget takes it, with _tokens, _pass, _block, _slot, _weight, _position."""
+    """df's rows, each as often as its source's budget takes it, with _tokens, _pass, _block, _slot, _weight, _position; columns of the names used here are replaced."""
     spark = df.sparkSession
     seed = F.lit(str(mix.seed))
+    df = df.drop("_tokens", "_source", "_key", "_blocks", "_block", "_pass", "_slot", "_end", "_weight", "_position")
     docs = df.withColumn("_tokens", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")).withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
     sizes = {r["_source"]: r["n"] for r in docs.groupBy("_source").agg(F.sum("_tokens").alias("n")).collect()}  # one row a source
     plan = budgets(sizes, mix)

@@ -241,6 +241,6 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_
     found = components(links).withColumnRenamed("node", "rep")
     named = classes.join(found, "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = docs.drop("sig").join(named, ["c1", "c2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn(
+    return out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
