@@ -74,6 +74,8 @@ def split_text(text: str, budget: int, overlap: int, length: Callable[[str], int
             flush()
             while held and (total > overlap or total + n > budget):
                 total -= held.pop(0)[1]
+            if not total:  # what has no token is no overlap
+                held = []
         held.append((part, n))
     flush()
     return out

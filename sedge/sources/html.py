@@ -42,7 +42,7 @@ def page_documents(pages: DataFrame, key: str = "page_id", html: str = "html") -
 
 def text_files(spark: SparkSession, path: str, pattern: str = "*_clean.md") -> DataFrame:
     """source (the file's name, NFC), text for whole text files."""
-    x = spark.read.option("pathGlobFilter", pattern).option("wholetext", True).text(path)
+    x = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     return x.select(nfc(F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -1))).alias("source"), F.col("value").alias("text"))
 
 
