@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import Recent, list_array, small_batches, utf8
+from sedge.llm.common import Recent, list_array, small_batches, trim, utf8
 
 END = "</w>"
 #: What the tokenizer's \s matches (Unicode White_Space).
@@ -63,8 +63,8 @@ class Chunks:
     stems(list of lower-case letter runs) and whole(list of other stretches) give ids as little-endian 32-bit integers.
     """
 
-    def __init__(self, stems, whole):
-        self.stems, self.whole, self.known = stems, whole, Recent(CACHED_CHUNKS)
+    def __init__(self, stems, whole, limit: int = CACHED_CHUNKS):
+        self.stems, self.whole, self.known = stems, whole, Recent(limit)
 
     def make(self, chunks: list[str]) -> list[bytes]:
         plain = [PLAIN.fullmatch(c) is not None for c in chunks]
@@ -174,8 +174,8 @@ class Bpe:
         self.texts = {i: t for t, i in self.vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.texts |= {i: t for t, i in self.special.items()}
+        self.pool = pa.array([self.texts.get(i) for i in range(max(self.texts) + 1)], pa.string())
         self.letters = byte_letters()
-        self.translate = {b: c for b, c in self.letters.items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern.replace(r"\s", SPACE))
@@ -187,18 +187,20 @@ class Bpe:
             x, y, z = self.vocab[a], self.vocab[b], self.vocab[a + b]
             self.merged.setdefault((x, y), (rank, z))
             self.made.setdefault(z, (rank, x, y))
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         symbols: dict[str, int] = {}
         words: dict[tuple[int, ...], int] = {}
         for text, token in self.vocab.items():
             if token not in self.made and text.removesuffix(END) and len(text.removesuffix(END)) == 1:
                 symbols.setdefault(text, len(symbols))
         self.symbols = symbols
+        self.inner = [symbols[self.letters[b]] for b in range(256)]
+        self.final = [symbols[self.letters[b] + END] for b in range(256)]
         for text, token in self.vocab.items():
             if (units := self.units(text)) and self.own(token):
                 words[tuple(symbols[u] for u in units)] = token
         self.automaton = SuffixAutomaton(words, len(symbols))
-        self.chunks = Chunks(lambda stems: [np.array(self.word(s), "<u4").tobytes() for s in stems], lambda other: [np.array(self.chunk(c), "<u4").tobytes() for c in other])
+        self.chunks = Chunks(lambda stems: [np.array(self.word(s), "<u4").tobytes() for s in stems], lambda other: [np.array(self.chunk(c), "<u4").tobytes() for c in other], CACHED_CHUNKS // 4)
 
     def units(self, text: str) -> list[str]:
         body = text[: -len(END)] if text.endswith(END) and len(text) > len(END) else text
@@ -246,26 +248,32 @@ class Bpe:
 
     def word(self, piece: str) -> list[int]:
         """The ids of one pre-token."""
-        letters = [self.letters[b] for b in piece.encode("utf-8", "surrogatepass")]
-        letters[-1] += END
-        text = [self.symbols[c] for c in letters]
+        data = piece.encode("utf-8", "surrogatepass")
+        text = [self.inner[b] for b in data]
+        text[-1] = self.final[data[-1]]
         a, n = self.automaton, len(text)
         nxt, link, length, words, up, width = a.next, a.link, a.length, a.words, a.up, a.width
-        last, state, matched = [-1] * (n + 1), 0, 0
-        size = [0] * (n + 1)
-        for i in range(1, n + 1):
-            symbol = text[i - 1]
-            while state and (state * width + symbol) not in nxt:
+        known, fits = self.compatible, self.fits
+        last, size, state, matched = [-1] * (n + 1), [0] * (n + 1), 0, 0
+        for i, symbol in enumerate(text, 1):
+            there = nxt.get(state * width + symbol)
+            while there is None and state:
                 state = link[state]
                 matched = length[state]
-            if (there := nxt.get(state * width + symbol)) is not None:
+                there = nxt.get(state * width + symbol)
+            if there is not None:
                 state, matched = there, matched + 1
             at = state
             while last[i] < 0:
                 for k, token in words[at]:
-                    if k <= matched and (k == i or (last[i - k] >= 0 and self.fits(last[i - k], token))):
+                    if k == i and k <= matched:
                         last[i], size[i] = token, k
                         break
+                    if k <= matched and (before := last[i - k]) >= 0:
+                        fit = known.get(before << 32 | token)
+                        if fit or (fit is None and fits(before, token)):
+                            last[i], size[i] = token, k
+                            break
                 if not at:
                     break
                 at = up[at]
@@ -276,11 +284,12 @@ class Bpe:
         return out[::-1]
 
     def fits(self, a: int, b: int) -> bool:
-        known = self.compatible.get((a, b))
+        key = a << 32 | b
+        known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) > 1_000_000:
+            if len(self.compatible) > 200_000:
                 self.compatible.clear()
-            known = self.compatible[a, b] = self.pair(a, b)
+            known = self.compatible[key] = self.pair(a, b)
         return known
 
     def chunk(self, text: str) -> list[int]:
@@ -321,6 +330,7 @@ def bpe_encode(text: Column | str, path: str) -> Column:
         for texts in batches:
             ids, offsets = bpe.chunks.ids(texts)
             yield list_array(ids.astype(np.int32), offsets)
+            trim()
 
     return encode(text)
 
@@ -330,14 +340,18 @@ def bpe_decode(ids: Column | str, path: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = loaded(path)
+        pool = loaded(path).pool
         for lists in batches:
-            yield pa.array([None if x is None else bpe.decode(x) for x in lists.to_pylist()], pa.string())
+            texts = pool.take(lists.flatten())
+            if texts.null_count:
+                raise ValueError("an id that isn't in the vocabulary")
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.concat_arrays([lists.offsets]), texts), " ")
+            yield pc.if_else(lists.is_valid(), joined, pa.scalar(None, pa.string()))
 
     return decode(ids)
 
 
 def encoded(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """df with columns ids and decoded in place of text, other columns kept."""
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, 500)
     return df.withColumn("ids", bpe_encode(F.col(text), path)).withColumn("decoded", bpe_decode("ids", path)).drop(text)
