@@ -203,5 +203,5 @@ def clean_report(df: DataFrame, cleaned: DataFrame, warnings: DataFrame, key: st
     """key, chars_before, chars_after, reduction_pct, warnings."""
     by = warnings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line", "type", "detail"))).alias("warnings"))
     sizes = df.select(key, F.length(F.coalesce(F.col(text), F.lit(""))).alias("chars_before")).join(cleaned.select(key, F.length("text").alias("chars_after")), key)
-    pct = F.when(F.col("chars_before") == 0, 0.0).otherwise(F.round((1 - F.col("chars_after") / F.col("chars_before")) * 100, 2))
+    pct = F.when(F.col("chars_before") == 0, 0.0).otherwise(F.round((1 - F.col("chars_after") / F.col("chars_before")) * 100, 2) + 0.0)
     return sizes.withColumn("reduction_pct", pct).join(by, key, "left")

