@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import SEPARATORS
+from sedge.llm.common import SEPARATORS, saved
 
 SPLIT = r"[ \t-\r]+"
 SYMBOLS = "#*$%&|<>"
@@ -79,7 +79,7 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def normal_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), SPLIT, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[1-9]", "0"), r"[ \t-\r]{2,}|[\t-\r]", " "))
 
 
 def keyed(df: DataFrame, host: str, text: str) -> DataFrame:
@@ -98,12 +98,13 @@ def frequent_lines(lines: DataFrame, texts: DataFrame, least: int, share: float)
 def line_words_lost(df: DataFrame, host: str = "source", text: str = "text", least: int = 30, share: float = 0.005) -> DataFrame:
     """_host, _doc, lost: words on frequent lines, for each distinct text that has such lines."""
     docs = keyed(df.select(host, text), host, text)
-    texts = docs.groupBy("_host", "_doc").agg(F.count("*").alias("copies"))
+    texts = saved(docs.groupBy("_host", "_doc").agg(F.count("*").alias("copies")), "texts")
     pairs = F.transform(
         F.filter(F.split(F.col(text), "\n"), lambda x: F.translate(x, SEPARATORS, "") != ""),
         lambda x: let(normal_line(x), lambda y: F.struct(F.xxhash64(y).alias("line"), (F.length(y) - F.length(F.translate(y, " ", "")) + 1).alias("words"))),
     )
     lines = docs.select("_host", "_doc", F.explode(pairs).alias("p")).select("_host", "_doc", F.col("p.line").alias("_line"), F.col("p.words").alias("words"))
+    lines = saved(lines, "lines")  # hashes only; both the counting and the losses read them
     salt = F.pmod(F.xxhash64("_doc"), F.lit(SALTS))
     frequent = frequent_lines(lines, texts, least, share).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     lost = lines.withColumn("_salt", salt).join(frequent, ["_host", "_line", "_salt"]).groupBy("_host", "_doc").agg(F.sum("words").alias("lost"))
