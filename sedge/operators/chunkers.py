@@ -151,10 +151,13 @@ def hierarchical_chunks(df: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def breakpoints(sentences: DataFrame, keys: list[str], config: ChunkConfig, embed: Callable[[Column], Column]) -> DataFrame:
-    """sentences (keys, n, sentence) with cut: the number of the semantic piece. Cuts follow the largest cosine distances of neighbouring contexts."""
+    """sentences (keys, n, sentence) with cut, the number of the semantic piece, and fallback. Cuts follow the largest cosine distances of
+    neighbouring contexts. A null vector means that embedding failed: an error, or, by config, no cut in that section (fallback true)."""
     w = W.partitionBy(*keys).orderBy("n")
     around = w.rowsBetween(-config.buffer, config.buffer)
     x = sentences.withColumn("context", F.array_join(F.collect_list("sentence").over(around), " ")).withColumn("v", embed(F.col("context")).cast("array<double>"))
+    failed = F.max(F.col("v").isNull()).over(W.partitionBy(*keys))
+    x = x.withColumn("fallback", F.when(failed, F.raise_error(F.lit("embedding failed")).cast("boolean")).otherwise(False) if config.raise_on_error else failed)
     x = x.withColumn("_next", F.lead("v").over(w))
     product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     size = F.sqrt(product(F.col("v"), F.col("v"))) * F.sqrt(product(F.col("_next"), F.col("_next")))
@@ -171,7 +174,7 @@ def breakpoints(sentences: DataFrame, keys: list[str], config: ChunkConfig, embe
     }[config.threshold]
     x = x.join(x.groupBy(*keys).agg(limit.alias("_limit")), keys)
     over = F.coalesce(F.lag(F.col("_d") > F.col("_limit")).over(w), F.lit(False))
-    return x.withColumn("cut", F.sum(over.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_d", "_limit")
+    return x.withColumn("cut", F.sum((over & ~F.col("fallback")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_d", "_limit")
 
 
 MERGED = T.ArrayType(T.StructType([T.StructField("row", T.IntegerType()), T.StructField("piece", T.StringType()), T.StructField("merged", T.BooleanType())]))
@@ -208,21 +211,21 @@ def semantic_chunks(df: DataFrame, embed: Callable[[Column], Column], key: str =
     sentences = x.where("not is_table").select(key, "pos", F.posexplode(F.split("content", SENTENCE_END)).alias("n", "sentence"))
     cut = breakpoints(sentences, [key, "pos"], config, embed)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "sentence"))), lambda e: e["sentence"])
-    texts = cut.groupBy(key, "pos", "cut").agg(F.array_join(ordered, " ").alias("piece")).groupBy(key, "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("cut", "piece"))), lambda e: e["piece"]).alias("found"))
+    texts = cut.groupBy(key, "pos", "cut").agg(F.array_join(ordered, " ").alias("piece"), F.max("fallback").alias("fallback")).groupBy(key, "pos").agg(F.max("fallback").alias("fallback"), F.transform(F.array_sort(F.collect_list(F.struct("cut", "piece"))), lambda e: e["piece"]).alias("found"))
     tables = pieces_udf(0, config.table_overlap)("content", "is_table", "budget")
     x = x.join(texts, [key, "pos"], "left").withColumn("pieces", F.when(F.col("is_table"), tables).otherwise(F.col("found"))).withColumn("parts", F.size("pieces"))
     x = x.select("*", F.posexplode("pieces").alias("part", "piece"))
     heads = [f"h{n}" for n in LEVELS]
-    row = F.struct("pos", "part", "piece", "breadcrumb", "is_table", "budget", "parts", "caption", *heads)
+    row = F.struct("pos", "part", "piece", "breadcrumb", "is_table", "budget", "parts", "caption", "fallback", *heads)
     docs = x.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     docs = docs.withColumn("kept", short_merge_udf(config)("rows")).select(key, "rows", F.posexplode("kept").alias("seq", "k"))
-    x = docs.select(key, "seq", F.col("k.piece").alias("piece"), F.col("k.merged").alias("merged_short_piece"), F.get("rows", F.col("k.row")).alias("r")).select(key, "seq", "piece", "merged_short_piece", "r.pos", F.col("r.part").alias("_part"), "r.breadcrumb", "r.is_table", "r.budget", "r.parts", "r.caption", *[f"r.{h}" for h in heads])
+    x = docs.select(key, "seq", F.col("k.piece").alias("piece"), F.col("k.merged").alias("merged_short_piece"), F.get("rows", F.col("k.row")).alias("r")).select(key, "seq", "piece", "merged_short_piece", "r.pos", F.col("r.part").alias("_part"), "r.breadcrumb", "r.is_table", "r.budget", "r.parts", "r.caption", "r.fallback", *[f"r.{h}" for h in heads])
     over = ~F.col("is_table") & (token_count(F.col("piece")) > F.col("budget"))
     again = pieces_udf(config.overlap, 0)("piece", "is_table", "budget")
     x = x.withColumn("_over", over).withColumn("_again", F.when(F.col("_over"), again).otherwise(F.array("piece"))).drop("piece")
     x = x.select("*", F.posexplode("_again").alias("_p", "piece"))
     split = F.col("parts") > 1
-    x = x.withColumns({"was_split": split | F.col("_over"), "overflow_split": F.col("_over"), "semantic_split": split & ~F.col("is_table"), "semantic_fallback": F.lit(False)})
+    x = x.withColumns({"was_split": split | F.col("_over"), "overflow_split": F.col("_over"), "semantic_split": split & ~F.col("is_table"), "semantic_fallback": F.coalesce("fallback", F.lit(False))})
     reason = F.when(F.col("_over"), "overflow_token_guard").when(split & F.col("is_table"), "table_rows").when(split, "semantic_breakpoint")
     x = x.withColumn("split_reason", reason).withColumn("part", F.when(F.col("is_table"), F.col("_part")).otherwise(F.col("_p"))).withColumn("pos", F.col("seq"))
     return described(x, key, config, "semantic")

@@ -65,12 +65,17 @@ def encode_with_retry(encode: Callable[[list[str]], np.ndarray], texts: list[str
     return np.concatenate(out) if out else np.zeros((0, 0), np.float32)
 
 
-def embedder(make: Callable[[], Callable[[list[str]], np.ndarray]], config: EmbedderConfig) -> Callable[[Column], Column]:
-    """A column function from any model: make() builds it once a worker."""
+def embedder(make: Callable[[], Callable[[list[str]], np.ndarray]], config: EmbedderConfig, null_on_error: bool = False) -> Callable[[Column], Column]:
+    """A column function from any model: make() builds it once a worker. A failed batch is an error, or, if so asked, has null vectors."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
-        vectors = encode_with_retry(loaded(make), [t or "" for t in texts], config)
+        try:
+            vectors = encode_with_retry(loaded(make), [t or "" for t in texts], config)
+        except Exception:
+            if not null_on_error:
+                raise
+            return pd.Series([None] * len(texts), index=texts.index, dtype=object)
         return pd.Series(list(vectors), index=texts.index)
 
     return embed

@@ -163,6 +163,22 @@ def test_short_pieces_merge(spark):
     assert out.count() >= 1 and not out.where("token_count > 60").count()
 
 
+def failing():
+    def encode(texts):
+        raise RuntimeError("no model")
+
+    return encode
+
+
+def test_failed_embedding(spark):
+    df = frame(spark, ["# A\nOne sentence here. Another one there. A third."])
+    bad = embed.embedder(failing, embed.EmbedderConfig("m"), null_on_error=True)
+    rows = chunkers.semantic_chunks(df, bad, config=chunkers.ChunkConfig(max_tokens=60, overlap=5, min_tokens=5, raise_on_error=False)).collect()
+    assert len(rows) == 1 and rows[0]["semantic_fallback"] and not rows[0]["was_split"]
+    with pytest.raises(Exception, match="embedding failed"):
+        chunkers.semantic_chunks(df, bad, config=chunkers.ChunkConfig(max_tokens=60, overlap=5, min_tokens=5)).collect()
+
+
 def test_html(spark):
     page = "<html><head><title>x</title></head><body><!-- c --><script>if (a</p>b) {}</script><h1>Title &amp; more</h1><p>One<br>two <b>bold<p>Three<ul><li>a<li>b</ul><h2>Sub</h2>end"
     got = column(spark, [page, ""], pages.html_to_markdown)
