@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge.llm import bpe, langid, mixing, neardup, pii
-from sedge.llm.common import saved
+from sedge.llm.common import Scratch
 from sedge.llm.entries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,7 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least doc_id, of each group of near-duplicates (five words, 0.8); of rows that are equal, one."""
+    """One document, the one of least doc_id, of each group of near-duplicates (five words, 0.8); rows of that doc_id stay together."""
     docs = docs.select(*COLUMNS)
     keep = neardup.near_duplicates(docs, words=5, similarity=0.8).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
@@ -51,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        scratch = Scratch(spark, name)
+        docs = scratch.save(stage(spark, docs, sf_dir))
+        if last:
+            last.clear()
+        last = scratch
     return STAGES[-1][1](spark, docs, sf_dir)

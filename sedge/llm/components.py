@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import saved
+from sedge.llm.common import Scratch, saved
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the least node reachable) for every node of a link. Null ends and loops are left out."""
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where((F.col("u") != F.col("v")) & F.col("u").isNotNull() & F.col("v").isNotNull()).distinct()
-    edges = saved(pairs, "links")
+    scratch = Scratch(links.sparkSession, "links")
+    edges = scratch.save(pairs)
     before = None
     while True:
         # large star: neighbours above a node move to the least of its neighbourhood
@@ -22,10 +23,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        edges = saved(small, "links")
+        last, scratch = scratch, Scratch(links.sparkSession, "links")
+        edges = scratch.save(small)
+        last.clear()
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    stars = saved(edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node"), "components")
+    scratch.clear()
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import held_out, small_batches, utf8
+from sedge.llm.common import held_out, small_batches, trim, utf8
 
 DIMENSIONS = 1 << 13
 #: Bytes that part words: all of ASCII but letters.
@@ -135,6 +135,7 @@ def predicted(df: DataFrame, model: LanguageModel, text: str = "text", judged: i
         for texts in batches:
             best, score = m.predict(texts) if m.languages else (np.zeros(len(texts), np.int64), np.zeros(len(texts)))
             yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score)], ["lang", "score"])
+            trim()
 
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(model.languages))
     out = df.withColumn("_p", predict(F.col(text))).withColumn("_l", lettered)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import mixed, saved, small_batches, utf8, word_hashes
+from sedge.llm.common import Scratch, mixed, saved, small_batches, trim, utf8, word_hashes
 from sedge.llm.components import components
 
 TREES, COORDINATES, DEEPEST = 16, 64, 40
@@ -79,6 +79,7 @@ def described(df: DataFrame, words: int, doc_id: str = "doc_id", text: str = "te
                 c2 = np.array([int(mixed(x).sum(dtype=np.uint64)) if len(x) else 0 for x in sets], np.uint64)
             sigs = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([signature(x) for x in sets]) if sets else np.zeros(0, np.int32)), COORDINATES).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), sigs], ["doc_id", "n_shingles", "c1", "c2", "sig"])
+            trim()
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(describe, "doc_id long, n_shingles long, c1 long, c2 long, sig array<int>")
 
@@ -88,13 +89,13 @@ def first_depth(similarity: float, miss: float = 2e-5) -> int:
     return max([1, *(d for d in (2, 3, 4) if (1 - similarity**d) ** TREES <= miss)])
 
 
-def regions(reps: DataFrame, depth: int) -> DataFrame:
+def regions(reps: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
     """tree, region, rep: the members of every region, hubs too, but not those that are alone in a tree."""
     at = lambda t, i: F.get("sig", F.lit((4 * t + i) % COORDINATES))
     keys = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), *[at(t, i) for i in range(depth)]).alias("key")) for t in range(TREES)])
     rows = reps.select("rep", F.explode(keys).alias("k")).select("k.tree", "k.key", "rep")
     sizes = rows.groupBy("tree", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = saved(rows.join(sizes, ["tree", "key"]), "regions")
+    members = scratch.save(rows.join(sizes, ["tree", "key"]))
     fit = members.where(F.col("n") <= REGION).select("tree", F.col("key").alias("region"), "rep")
     large = members.where(F.col("n") > REGION)
     if large.isEmpty():
@@ -110,12 +111,12 @@ def regions(reps: DataFrame, depth: int) -> DataFrame:
         steps = F.when(F.col("n") > 16 * REGION, 4).when(F.col("n") > 4 * REGION, 2).otherwise(1)
         place = [F.pmod(4 * F.col("tree") + F.col("depth") + i, F.lit(COORDINATES)) for i in range(4)]
         child = F.xxhash64("key", *[F.when(steps > i, F.get("sig", p)) for i, p in enumerate(place)])
-        level = saved(level.withColumns({"child": child, "depth": F.col("depth") + steps}), "regions")
+        level = scratch.save(level.withColumns({"child": child, "depth": F.col("depth") + steps}))
         level = level.join(level.groupBy("tree", "child").agg(F.count("*").alias("of_child")), ["tree", "child"])
         pool = F.xxhash64(F.lit("pool"), "key", F.pmod("child", F.ceil(2 * F.col("n") / REGION)))
         # alike in DEEPEST coordinates: any split will do, as the hubs join its parts
         rest = F.xxhash64(F.lit("rest"), "child", F.pmod(F.xxhash64("rep"), F.ceil(F.col("of_child") / REGION)))
-        level = saved(level.withColumn("region", F.when(F.col("of_child") <= REGION, pool).when(F.col("depth") >= DEEPEST, rest)), "regions")
+        level = scratch.save(level.withColumn("region", F.when(F.col("of_child") <= REGION, pool).when(F.col("depth") >= DEEPEST, rest)))
         done.append(level.where("region is not null").select("tree", "root", "region", "rep"))
         level = level.where("region is null").select("tree", "root", F.col("child").alias("key"), F.col("of_child").alias("n"), "rep", "sig", "depth")
         if level.isEmpty():
@@ -150,6 +151,7 @@ def by_region(rows: DataFrame, columns: list[str], schema: str, work: Callable[[
             if last:
                 yield from finish(pa.concat_tables([*held, table.slice(0, last)]))
                 held = []
+                trim()
             held.append(table.slice(last))
         if held:
             yield from finish(pa.concat_tables(held))
@@ -221,6 +223,7 @@ def sets_of(df: DataFrame, reps: DataFrame, words: int, doc_id: str, text: str)
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1).fill_null(""), words)], pa.binary())], ["rep", "shingles"])
+            trim()
 
     chosen = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(reps.select("rep", "c1", "c2"), "rep")
     return chosen.select("rep", "text").mapInArrow(make, "rep long, shingles binary")
@@ -233,12 +236,14 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_
     known = docs.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = known.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     reps = known.select("c1", "c2", "n_shingles", F.col("doc_id").alias("rep"), "sig").join(classes, ["c1", "c2", "n_shingles", "rep"]).dropDuplicates(["rep"])
-    reps = saved(reps, "sets")
-    members = saved(plausible(regions(reps, first_depth(similarity)), reps, similarity), "regions")
+    scratch = Scratch(df.sparkSession, "regions")
+    reps = scratch.save(reps)
+    members = scratch.save(plausible(regions(reps, first_depth(similarity), scratch), reps, similarity))
     taking_part = members.select("rep").distinct()
-    sets = saved(sets_of(df, reps.join(taking_part, "rep"), words, doc_id, text).dropDuplicates(["rep"]), "sets")
+    sets = scratch.save(sets_of(df, reps.join(taking_part, "rep"), words, doc_id, text).dropDuplicates(["rep"]))
     links = true_links(members, sets, round(100 * similarity))
     found = components(links).withColumnRenamed("node", "rep")
+    scratch.clear()
     named = classes.join(found, "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = docs.drop("sig").join(named, ["c1", "c2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn(

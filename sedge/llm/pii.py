@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedge.llm.common import small_batches
+from sedge.llm.common import small_batches, trim
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "local_phone")
@@ -155,12 +155,14 @@ def redacted(text: str, spans: list[dict]) -> str:
 def pii_spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         yield pa.array([find(t or "") for t in texts.to_pylist()], SPAN_TYPE)
+        trim()
 
 
 @F.arrow_udf(T.StringType())
-def without_spans(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for texts, spans in batches:
-        yield pa.array([t if t is None or not s else redacted(t, s) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+def redacted_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield pa.array([redacted(t, find(t)) if t else t for t in texts.to_pylist()], pa.string())
+        trim()
 
 
 def with_spans(df: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
@@ -171,7 +173,7 @@ def with_spans(df: DataFrame, text: str = "text", name: str = "spans") -> DataFr
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the spans in its text replaced by marks such as [EMAIL]; no row goes."""
     small_batches(df.sparkSession)
-    return df.withColumn(text, without_spans(F.col(text), pii_spans(F.col(text))))
+    return df.withColumn(text, redacted_text(F.col(text)))
 
 
 def joined(spans: Column) -> Column:

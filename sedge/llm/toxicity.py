@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import held_out, mixed, small_batches, utf8
+from sedge.llm.common import held_out, mixed, small_batches, trim, utf8
 
 BITS = 20
 LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
@@ -157,6 +157,7 @@ def scored(df: DataFrame, model: ToxicityModel, text: str = "text", limit: float
             spans = pa.StructArray.from_arrays([pa.array(bounds[bad, 0]), pa.array(bounds[bad, 1]), pa.array(np.round(p[bad], 6))], fields=list(item))
             offsets = np.searchsorted(of_text[bad], np.arange(len(texts) + 1)).astype(np.int32)
             yield pa.StructArray.from_arrays([pa.array(total), pa.ListArray.from_arrays(pa.array(offsets), spans)], ["score", "offending"])
+            trim()
 
     out = df.withColumn("_s", score(F.col(text))).drop(text)
     return out.withColumn("score", F.col("_s.score")).withColumn("predicted", (F.col("score") >= limit).cast("int")).withColumn("offending", F.col("_s.offending")).drop("_s")
