@@ -32,13 +32,13 @@ def _unescape(texts: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """Unicode NFC; ASCII texts are normal already and don't leave the JVM's side of the plan's result."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfc(text)).otherwise(text)
+    """Unicode NFC; ASCII texts are normal already, so Python gets only a null for them."""
+    return F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def unescaped(text: Column) -> Column:
-    """HTML entities decoded, all named ones too."""
-    return F.when(F.contains(text, F.lit("&")), _unescape(text)).otherwise(text)
+    """HTML entities decoded, all named ones too; Python gets only texts with an ampersand."""
+    return F.coalesce(_unescape(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
 def newlines(text: Column) -> Column:
