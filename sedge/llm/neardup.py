@@ -1,6 +1,7 @@
 """Near-duplicates by an LSH forest over MinHash signatures, links confirmed on the full shingle sets.
 
-A document's set holds its distinct word shingles as 64-bit hashes; documents of one set form a class, and only one
+A document's set holds its distinct word shingles as 64-bit hashes (40 bits of them where sets are compared);
+documents of one set form a class, and only one
 representative of each goes on. A tree is one order of the signature's coordinates: representatives that share its
 first `depth` minima form a region, and a region of more than REGION members is parted by the next coordinate, and
 the next, so the depth adapts to each region; small siblings are pooled. The representatives that lie in the most
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import Scratch, mixed, saved, small_batches, trim, utf8, word_hashes
+from sedge.llm.common import Scratch, drop_copies, mixed, saved, small_batches, trim, utf8, word_hashes
 from sedge.llm.components import components
 
 TREES, COORDINATES, DEEPEST = 16, 64, 40
@@ -57,6 +58,17 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
+def packed(found: np.ndarray) -> bytes:
+    """The first five bytes of each hash: enough to tell the shingles of a few texts apart, and less to send."""
+    return found.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return wide.view(">u8").ravel().astype(np.uint64)
+
+
 def signature(found: np.ndarray) -> np.ndarray:
     """The least of each of COORDINATES hashes over the set."""
     least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
@@ -71,6 +83,7 @@ def described(df: DataFrame, words: int, doc_id: str = "doc_id", text: str = "te
     small_batches(df.sparkSession)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_copies()
         for batch in batches:
             sets = shingle_sets(batch.column(1).fill_null(""), words)
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -132,6 +145,7 @@ def by_region(rows: DataFrame, columns: list[str], schema: str, work: Callable[[
     """work(tree, region, rows) on each region; whole regions are dealt out by range, so that parts are even."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_copies()
         held: list[pa.Table] = []
 
         def finish(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -183,7 +197,7 @@ def true_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def link(tree: int, region: int, table: pa.Table) -> pa.RecordBatch | None:
         rep = table["rep"].to_numpy()
-        sets_ = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        sets_ = [unpacked(x) for x in table["shingles"].to_pylist()]
         n = len(sets_)
         size = np.fromiter(map(len, sets_), np.int64, n)
         flat, owner = np.concatenate(sets_), np.repeat(np.arange(n), size)
@@ -222,7 +236,7 @@ def sets_of(df: DataFrame, reps: DataFrame, words: int, doc_id: str, text: str)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1).fill_null(""), words)], pa.binary())], ["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(x) for x in shingle_sets(batch.column(1).fill_null(""), words)], pa.binary())], ["rep", "shingles"])
             trim()
 
     chosen = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(reps.select("rep", "c1", "c2"), "rep")
