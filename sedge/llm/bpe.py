@@ -10,7 +10,6 @@ Defined results: a null text counts as empty and has no ids; an unknown id raise
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import unicodedata
@@ -23,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import Recent, list_array, small_batches, trim, utf8
+from sedge.llm.common import Recent, list_array, small_batches, trim, utf8, worker_copy
 
 END = "</w>"
 #: What the tokenizer's \s matches (Unicode White_Space).
@@ -315,10 +314,9 @@ class Bpe:
         return " ".join(map(self.texts.__getitem__, ids))
 
 
-@functools.lru_cache(maxsize=2)
 def loaded(path: str) -> Bpe:
     """One copy in each Python worker."""
-    return Bpe(path)
+    return worker_copy(("bpe", path), lambda: Bpe(path))
 
 
 def bpe_encode(text: Column | str, path: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -62,7 +63,10 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
+        """Delete the tables, and let Spark's cleaner, which waits for garbage collection, delete the shuffles that made them."""
         remove_dir(self.spark, self.folder)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 500, size: str = "16m") -> None:
@@ -78,6 +82,25 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_copies: dict = {}
+
+
+def worker_copy(key: tuple, make):
+    """What make() gives, kept in this Python worker until another operator runs in it: a worker holds one operator's tables."""
+    if key not in _copies:
+        _copies.clear()
+        trim()
+        _copies[key] = make()
+    return _copies[key]
+
+
+def drop_copies() -> None:
+    """For operators without tables of their own."""
+    if _copies:
+        _copies.clear()
+        trim()
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fifth of the documents that no model may learn from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge.llm.bpe import END, Chunks
-from sedge.llm.common import remove_dir, shared_dir, small_batches
+from sedge.llm.common import drop_copies, remove_dir, shared_dir, small_batches, worker_copy
 
 MAX_BITS = 18
 CHECKPOINT = 512
@@ -126,7 +126,6 @@ class Code:
         return result
 
 
-@functools.lru_cache(maxsize=1)
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -137,8 +136,12 @@ def tokenizer(path: str):
     return made
 
 
-@functools.lru_cache(maxsize=1)
 def chunks(path: str) -> Chunks:
+    """One copy in each Python worker."""
+    return worker_copy(("chunks", path), lambda: library_chunks(path))
+
+
+def library_chunks(path: str) -> Chunks:
     """The library behind the cache of stretches; letter runs go to it many to a text and are parted at word ends."""
     tok = tokenizer(path)
     ends = np.zeros(tok.get_vocab_size(), bool)
@@ -176,6 +179,7 @@ def tokenized(df: DataFrame, path: str, end: int | None, doc_id: str = "doc_id",
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "doc_id long, ids binary")
 
 
+@functools.lru_cache(maxsize=8)
 def id_width(path: str, end: int | None = None) -> int:
     return 2 if max(tokenizer(path).get_vocab_size(), end or 0) < 1 << 16 else 4
 
@@ -248,6 +252,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)  # blocks; each is large
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_copies()
         ids, lengths, first = shared.value
         code = Code(ids, lengths)
         for batch in batches:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import held_out, small_batches, trim, utf8
+from sedge.llm.common import drop_copies, held_out, small_batches, trim, utf8
 
 DIMENSIONS = 1 << 13
 #: Bytes that part words: all of ASCII but letters.
@@ -130,6 +130,7 @@ def predicted(df: DataFrame, model: LanguageModel, text: str = "text", judged: i
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        drop_copies()
         m = shared.value
         names = np.array([*m.languages, "und"], object)
         for texts in batches:

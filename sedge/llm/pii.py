@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedge.llm.common import small_batches, trim
+from sedge.llm.common import drop_copies, small_batches, trim
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "local_phone")
@@ -153,6 +153,7 @@ def redacted(text: str, spans: list[dict]) -> str:
 
 @F.arrow_udf(SPANS)
 def pii_spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    drop_copies()
     for texts in batches:
         yield pa.array([find(t or "") for t in texts.to_pylist()], SPAN_TYPE)
         trim()
@@ -160,6 +161,7 @@ def pii_spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 @F.arrow_udf(T.StringType())
 def redacted_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    drop_copies()
     for texts in batches:
         yield pa.array([redacted(t, find(t)) if t else t for t in texts.to_pylist()], pa.string())
         trim()
