@@ -2,8 +2,7 @@
 
 Lines are normalised (lower case, digits to 0, separators to one space, trimmed) and hashed; each line counts once
 for each distinct text of its host, so exact copies count once. A line of more than max(least, share x the host's
-distinct texts) of them is boilerplate; a document that keeps fewer than min_words words without such lines, or
-loses more than max_lost of its words, is depleted.
+distinct texts) of them is boilerplate; a document that loses more than max_lost of its words with such lines is depleted.
 
 Defined results: a null text has no words and fails the base rule; a null host is a host of its own; repeated rows
 and equal or null ids each keep their row.
@@ -113,7 +112,7 @@ def line_words_lost(df: DataFrame, host: str = "source", text: str = "text", lea
 
 
 def line_quality(
-    df: DataFrame, host: str = "source", text: str = "text", least: int = 30, share: float = 0.005, min_words: int = 20, max_lost: float = 2 / 3
+    df: DataFrame, host: str = "source", text: str = "text", least: int = 30, share: float = 0.005, max_lost: float = 0.5
 ) -> DataFrame:
     """df's rows without the text, with the base counts, n_lost_words, kept; columns of the names used here are replaced."""
     df = df.drop("_host", "_doc", "_salt", "_counts", "lost", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "kept")
@@ -121,7 +120,7 @@ def line_quality(
     # copies of one text can be many: they are spread over the salts before the join
     docs = keyed(base_counts(df, text), host, text).drop(text).withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns if c != text]), F.lit(SALTS)))
     out = docs.join(lost, ["_host", "_doc", "_salt"], "left").withColumn("n_lost_words", F.coalesce("lost", F.lit(0)))
-    depleted = (F.col("n_words") - F.col("n_lost_words") < min_words) | (F.col("n_lost_words") > max_lost * F.col("n_words"))
+    depleted = F.col("n_lost_words") > max_lost * F.col("n_words")
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_host", "_doc", "_salt", "lost")
 
 
@@ -144,6 +143,6 @@ c AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_
   FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
 b AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lost_words,
-  (NOT base_failed AND NOT (n_words - n_lost_words < 20 OR n_lost_words > 2.0 / 3 * n_words)) AS kept
+  (NOT base_failed AND NOT n_lost_words > 0.5 * n_words) AS kept
 FROM b
 """
