@@ -51,6 +51,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner, which waits for garbage collection, delete the shuffle files of finished work."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Tables in one shared folder that go together when the work that reads them is done."""
 
@@ -63,10 +69,9 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
-        """Delete the tables, and let Spark's cleaner, which waits for garbage collection, delete the shuffles that made them."""
+        """Delete the tables and the shuffles that made them."""
         remove_dir(self.spark, self.folder)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        free_shuffles(self.spark)
 
 
 def small_batches(spark: SparkSession, rows: int = 500, size: str = "16m") -> None:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sedge.llm.common import mixed, saved, small_batches, utf8
+from sedge.llm.common import drop_copies, free_shuffles, mixed, saved, small_batches, trim, utf8
 from sedge.llm.suffixes import suffix_array
 
 LENGTH, GRAM = 100, 32
@@ -107,6 +107,7 @@ def found_runs(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """All runs: route, kind (1: an earlier run of this batch has its content), h, content, doc, start, n."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_copies()
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             text, start, n, h, content = runs(data, offsets)
@@ -174,6 +175,7 @@ def settled(found: DataFrame, hot: np.ndarray) -> DataFrame:
             held.append(table.slice(last))
         if held:
             yield finish(pa.concat_tables(held))
+        trim()
 
     rows = found.repartition("route").sortWithinPartitions("h", "again", "content", "doc", "start")
     return rows.mapInArrow(settle, "doc long, start long, n short, h long, flag boolean")
@@ -286,9 +288,11 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     docs, rows = keyed(df, doc_id, text)
     hot = hot_anchors(docs)
     done = saved(settled(found_runs(docs, hot), hot), "runs")
+    free_shuffles(spark)
     pieces = contents(docs, done.where("not flag").select("doc", "start", "n", "h"), hot)
     small_batches(spark, 20_000)
     more = saved(compared(pieces), "runs")
+    free_shuffles(spark)
     small_batches(spark, 1000)
     stretches = done.where("flag").select("doc", "start", F.col("n").cast("int").alias("n")).unionByName(more)
     spans = stretches.withColumn("sub", F.floor(F.col("start") / SUB)).groupBy("doc", "sub").agg(F.collect_list(F.struct(F.pmod("start", F.lit(SUB)).alias("start"), "n")).alias("spans"))
