@@ -10,6 +10,10 @@ holds together however deep its region was parted. Within a region, signatures f
 the limit; then all pairs of the rest are compared on whole sets, by one matrix product, and a spanning forest of
 the true links leaves the task.
 
+Parts and hubs only find groups early: after them, every large region is compared once more as it was before parting,
+in square tiles of two blocks. Left out are only pairs that can't matter: of one group already, or of sizes too far
+apart for the limit. So a family of n documents below the limit costs n x n / 2 comparisons in each tree that has it.
+
 Defined results: a text without words, or null, has no shingle and is linked with nothing; one of fewer words than
 a shingle has its whole sequence as the only one; a null doc_id stays alone; rows of one doc_id count by their text.
 """
@@ -29,6 +33,8 @@ from sedge.llm.components import components
 
 TREES, COORDINATES, DEEPEST = 16, 64, 40
 REGION, HUBS = 128, 4
+#: Members and shingles of a block, about; a tile has two.
+BLOCK, WEIGHT = 256, 1 << 19
 XORS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64))
 ODDS = mixed(np.arange(1001, COORDINATES + 1001, dtype=np.uint64)) | np.uint64(1)
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -102,8 +108,8 @@ def first_depth(similarity: float, miss: float = 2e-5) -> int:
     return max([1, *(d for d in (2, 3, 4) if (1 - similarity**d) ** TREES <= miss)])
 
 
-def regions(reps: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
-    """tree, region, rep: the members of every region, hubs too, but not those that are alone in a tree."""
+def regions(reps: DataFrame, depth: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """tree, region, rep: the members of every region, hubs too, but not those that are alone in a tree; and tree, key, rep: the large regions whole, if any."""
     at = lambda t, i: F.get("sig", F.lit((4 * t + i) % COORDINATES))
     keys = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), *[at(t, i) for i in range(depth)]).alias("key")) for t in range(TREES)])
     rows = reps.select("rep", F.explode(keys).alias("k")).select("k.tree", "k.key", "rep")
@@ -112,7 +118,7 @@ def regions(reps: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
     fit = members.where(F.col("n") <= REGION).select("tree", F.col("key").alias("region"), "rep")
     large = members.where(F.col("n") > REGION)
     if large.isEmpty():
-        return fit
+        return fit, None
     # hubs: in each of HUBS shares of a large region, the member of the most large regions
     score = large.groupBy("rep").agg(F.count("*").alias("score"))
     ranked = large.join(score, "rep").withColumn("share", F.pmod(F.xxhash64("rep", "tree"), F.lit(HUBS)))
@@ -138,7 +144,31 @@ def regions(reps: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
     for more in done[1:]:
         parts = parts.unionByName(more)
     spread = parts.select("tree", "root", "region").distinct().join(hubs, ["tree", "root"]).select("tree", "region", "rep")
-    return fit.unionByName(parts.select("tree", "region", "rep").unionByName(spread).distinct())
+    return fit.unionByName(parts.select("tree", "region", "rep").unionByName(spread).distinct()), large.select("tree", "key", "rep")
+
+
+def tiles(large: DataFrame, reps: DataFrame, found: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """tree, region, rep, kin (the group found so far): tiles that hold every pair of each large region, but pairs of one kin or of sizes too far apart."""
+    # sets of a true link lie in one band of sizes or in neighbouring ones
+    width = 1.001 * max(-math.log(max(similarity, 0.01)), 1e-3)
+    rows = large.join(reps.select("rep", "n_shingles"), "rep").join(found, "rep", "left")
+    rows = rows.select("tree", "key", "rep", "n_shingles", F.coalesce("component", "rep").alias("kin"), F.floor(F.log("n_shingles") / width).alias("band"))
+    rows = scratch.save(rows)
+    several = rows.groupBy("tree", "key").agg(F.min("kin").alias("a"), F.max("kin").alias("b")).where("a != b").select("tree", "key")
+    rows = rows.join(several, ["tree", "key"])
+    # a kin of many members has blocks of its own, which needn't meet each other
+    many = rows.groupBy("tree", "key", "kin").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK).select("tree", "key", "kin", F.lit(True).alias("many"))
+    rows = rows.join(many, ["tree", "key", "kin"], "left").withColumn("pure", F.coalesce("many", F.lit(False))).withColumn("of", F.when(F.col("pure"), F.col("kin")).otherwise(0))
+    share = ["tree", "key", "pure", "of", "band"]
+    blocks = rows.groupBy(share).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / WEIGHT)).alias("blocks"))
+    rows = scratch.save(rows.join(blocks, share).select(*share, F.pmod(F.xxhash64("rep"), "blocks").alias("block"), "rep", "kin"))
+    place = ["pure", "of", "band", "block"]
+    held = scratch.save(rows.select("tree", "key", F.struct(*place).alias("at")).distinct())
+    a, b = F.col("a"), F.col("b")
+    pairs = held.withColumnRenamed("at", "a").join(held.withColumnRenamed("at", "b"), ["tree", "key"])
+    pairs = pairs.where((a <= b) & (F.abs(a["band"] - b["band"]) <= 1) & ~(a["pure"] & b["pure"] & (a["of"] == b["of"])))
+    pairs = pairs.select("tree", "key", F.xxhash64("key", "a", "b").alias("region"), F.explode(F.array_distinct(F.array("a", "b"))).alias("at"))
+    return pairs.select("tree", "key", "region", "at.*").join(rows, ["tree", "key", *place]).select("tree", "region", "rep", "kin")
 
 
 def by_region(rows: DataFrame, columns: list[str], schema: str, work: Callable[[int, int, pa.Table], pa.RecordBatch | None]) -> DataFrame:
@@ -174,29 +204,29 @@ def by_region(rows: DataFrame, columns: list[str], schema: str, work: Callable[[
 
 
 def plausible(members: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """The members that have a partner in their region whose signature is within five deviations of the limit."""
+    """The members that have a partner of another kin in their region whose signature is within five deviations of the limit."""
     cut = similarity - 5 * math.sqrt(similarity * (1 - similarity) / COORDINATES)
 
     def near(tree: int, region: int, table: pa.Table) -> pa.RecordBatch | None:
         sig = table["sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
-        rep = table["rep"].to_numpy()
+        rep, kin = table["rep"].to_numpy(), table["kin"].to_numpy()
         good = np.zeros(len(sig), bool)
         for i in range(len(sig)):
             alike = (sig == sig[i]).sum(1) >= cut * COORDINATES
-            good[i] = alike.sum() > 1
+            good[i] = (alike & (kin != kin[i])).any()
         if not good.any():
             return None
         n = int(good.sum())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, tree, np.int32)), pa.array(np.full(n, region)), pa.array(rep[good])], ["tree", "region", "rep"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, tree, np.int32)), pa.array(np.full(n, region)), pa.array(rep[good]), pa.array(kin[good])], ["tree", "region", "rep", "kin"])
 
-    return by_region(members.join(reps.select("rep", "sig"), "rep"), ["rep", "sig"], "tree int, region long, rep long", near)
+    return by_region(members.join(reps.select("rep", "sig"), "rep"), ["rep", "kin", "sig"], "tree int, region long, rep long, kin long", near)
 
 
 def true_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: a spanning forest of the links within each region, by whole sets (100 x intersection >= percent x union)."""
+    """a, b: a spanning forest of the links between kins within each region, by whole sets (100 x intersection >= percent x union)."""
 
     def link(tree: int, region: int, table: pa.Table) -> pa.RecordBatch | None:
-        rep = table["rep"].to_numpy()
+        rep, kin = table["rep"].to_numpy(), table["kin"].to_numpy()
         sets_ = [unpacked(x) for x in table["shingles"].to_pylist()]
         n = len(sets_)
         size = np.fromiter(map(len, sets_), np.int64, n)
@@ -214,7 +244,7 @@ def true_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             m[owner[s:e], at[s:e] - k] = 1
             both += m @ m.T
         linked = 100 * both >= percent * (size[:, None] + size[None] - both)
-        linked &= both > 0
+        linked &= (both > 0) & (kin[:, None] != kin[None])
         a, b, seen = [], [], np.zeros(n, bool)
         for start in range(n):
             if seen[start]:
@@ -228,7 +258,7 @@ def true_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 front = linked[front].any(0) & ~seen
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
 
-    return by_region(members.join(sets, "rep"), ["rep", "shingles"], "a long, b long", link)
+    return by_region(members.join(sets, "rep"), ["rep", "kin", "shingles"], "a long, b long", link)
 
 
 def sets_of(df: DataFrame, reps: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
@@ -252,11 +282,19 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_
     reps = known.select("c1", "c2", "n_shingles", F.col("doc_id").alias("rep"), "sig").join(classes, ["c1", "c2", "n_shingles", "rep"]).dropDuplicates(["rep"])
     scratch = Scratch(df.sparkSession, "regions")
     reps = scratch.save(reps)
-    members = scratch.save(plausible(regions(reps, first_depth(similarity), scratch), reps, similarity))
-    taking_part = members.select("rep").distinct()
-    sets = scratch.save(sets_of(df, reps.join(taking_part, "rep"), words, doc_id, text).dropDuplicates(["rep"]))
-    links = true_links(members, sets, round(100 * similarity))
-    found = components(links).withColumnRenamed("node", "rep")
+
+    def links_of(candidates: DataFrame) -> DataFrame:
+        members = scratch.save(plausible(candidates, reps, similarity))
+        taking_part = members.select("rep").distinct()
+        sets = scratch.save(sets_of(df, reps.join(taking_part, "rep"), words, doc_id, text).dropDuplicates(["rep"]))
+        return true_links(members, sets, round(100 * similarity))
+
+    parts, large = regions(reps, first_depth(similarity), scratch)
+    found = components(links_of(parts.withColumn("kin", F.col("rep")))).withColumnRenamed("node", "rep")
+    if large is not None:
+        more = scratch.save(links_of(tiles(large, reps, found, similarity, scratch)))
+        if not more.isEmpty():
+            found = components(found.select(F.col("rep").alias("a"), F.col("component").alias("b")).unionByName(more)).withColumnRenamed("node", "rep")
     scratch.clear()
     named = classes.join(found, "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = docs.drop("sig").join(named, ["c1", "c2", "n_shingles"], "left")

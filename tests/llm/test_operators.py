@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -271,6 +272,37 @@ def test_near_duplicate_star(spark, monkeypatch):
     assert got == {d: c for d, (_, c) in want.items()}
 
 
+def templated(n: int, words: int, low: float, high: float) -> list[tuple]:
+    """A family of n pairs: different pairs are about low alike, the two of a pair about high, just above or below the limit."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(400)]
+
+    def changed(w: list, k: int, name: str) -> list:
+        w = list(w)
+        for i in r.sample(range(0, len(w) - words, words), k):
+            w[i + words // 2] = f"{name}_{i}"
+        return w
+
+    # k words apart cost words x k shingles on each side
+    apart = lambda j: round(400 * (1 - j) / (1 + j) / words)
+    rows = []
+    for i in range(n):
+        one = changed(base, round(apart(low) / 2), f"x{i}")
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(changed(one, apart(high) + i % 2, f"y{i}")))]
+    return rows
+
+
+def test_near_duplicates_in_a_family_below_the_limit(spark, monkeypatch):
+    """Isolated true pairs among many documents nearly as alike: regions are parted, yet each pair is found."""
+    monkeypatch.setattr(neardup, "REGION", 8)
+    monkeypatch.setattr(neardup, "BLOCK", 16, raising=False)
+    rows = templated(150, 3, 0.8, 0.86)
+    want = plain_components(rows, 3, 85)
+    assert 50 < sum(c != d for d, (_, c) in want.items()) and max(Counter(c for _, c in want.values()).values()) == 2
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, similarity=0.85).collect()}
+    assert got == {d: c for d, (_, c) in want.items()}
+
+
 def test_components(spark):
     r = random.Random(8)
     for n, m in ((30, 20), (200, 150), (40, 39)):
