@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from sedge.llm import bpe, components, digest, huffman, langid, lines, mixing, neardup, pii, repeats, suffixes, toxicity
 from sedge.llm.common import shared_dir
 from sedge.llm.entries import tokenizer_path
@@ -303,6 +304,15 @@ def test_near_duplicates_in_a_family_below_the_limit(spark, monkeypatch):
     assert got == {d: c for d, (_, c) in want.items()}
 
 
+def test_pipeline_keeps_one_of_each_pair_in_a_family(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REGION", 8)
+    rows = templated(150, 5, 0.75, 0.82)
+    want = {c for _, c in plain_components(rows, 5, 80).values()}
+    assert len(want) < 250
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x["doc_id"] for x in corpus_pipeline.deduplicated(spark, docs, "").collect()} == want
+
+
 def test_components(spark):
     r = random.Random(8)
     for n, m in ((30, 20), (200, 150), (40, 39)):
