@@ -8,8 +8,11 @@ The likeness of two digests compares each filter of the one with fewer (or less
 other's: the overlap of bits, less that expected by chance, over the most that it could be; best overlap each,
 averaged by features. Equal texts have equal digests; likeness is symmetric, and 1 for equal digests.
 
-Defined results: a null text counts as empty; texts below SHORT bytes hold too few such features and use their
-8-byte windows (from THINNED bytes on, those whose hash is divisible by 4), and those below 8 bytes the whole text;
+Texts below SHORT bytes hold few such features, so they have a second kind in filters of their own: 8-byte windows
+(from THINNED bytes on, those whose hash is divisible by 4), and below 8 bytes the whole text. Two texts that both
+have the second kind are compared by it, all others by the first, which texts of any length hold that have a run.
+
+Defined results: a null text counts as empty; a text too short for a run (127 bytes) is like none of SHORT bytes or more;
 an empty text has an empty digest, like 1 to another and 0 to the rest.
 """
 
@@ -28,6 +31,8 @@ from sedge.llm.common import mixed, small_batches, utf8
 WINDOW, RUN, VOTES = 64, 64, 16
 SHORT, THINNED = 640, 160
 FILTER_BITS, PER_FILTER, HASHES = 2048, 160, 5
+#: Added to the number of features in filters of the second kind.
+SECOND = 1 << 15
 #: Entropy of a window in steps; the fixed-point gains make sliding sums exact.
 STEPS, POINT = 1024, 1 << 20
 GAIN = np.array([0] + [round(POINT * (c * np.log2(c) - (c - 1) * (np.log2(c - 1) if c > 1 else 0))) for c in range(1, WINDOW + 1)], np.int64)
@@ -80,10 +85,10 @@ def minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def features(texts: pa.Array, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the texts' features in order, and the n + 1 offsets."""
+    """Hashes of the texts' features, for each text those of the first kind in order, then those of the second; and the 2 n + 1 offsets."""
     data, offsets = utf8(texts)
     n, sizes = len(texts), np.diff(offsets)
-    hashes, owners, order = [], [], []
+    hashes, groups, order = [], [], []
     padded = np.concatenate([data, np.zeros(WINDOW, np.uint8)]).astype(np.uint64)
     owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     if len(data) >= WINDOW + RUN:
@@ -91,7 +96,7 @@ def features(texts: pa.Array, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         m = len(rank_at)
         best = minima((rank_at << 32) | np.arange(m), RUN)
         # runs of windows wholly within one text
-        good = (sizes >= SHORT)[owner[: len(best)]] & (owner[: len(best)] == owner[np.minimum(np.arange(len(best)) + RUN - 1 + WINDOW - 1, len(data) - 1)])
+        good = owner[: len(best)] == owner[np.arange(len(best)) + RUN - 1 + WINDOW - 1]
         votes = np.bincount(best[good] & 0xFFFFFFFF, minlength=m)
         chosen = np.flatnonzero(votes >= VOTES)
         with np.errstate(over="ignore"):
@@ -99,7 +104,7 @@ def features(texts: pa.Array, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             for k in range(WINDOW):
                 value += padded[chosen + k] * FACTORS[k]
         hashes.append(mixed(value))
-        owners.append(owner[chosen])
+        groups.append(2 * owner[chosen])
         order.append(chosen)
     for width, few in ((8, (sizes >= 8) & (sizes < SHORT)), (0, (sizes > 0) & (sizes < 8))):
         which = np.flatnonzero(few)
@@ -117,31 +122,32 @@ def features(texts: pa.Array, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         value = mixed(value)
         kept = (sizes[owner[at]] < THINNED) | (value & np.uint64(3) == 0)
         hashes.append(value[kept] >> np.uint64(2))
-        owners.append(owner[at[kept]])
+        groups.append(2 * owner[at[kept]] + 1)
         order.append(at[kept])
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    where = np.argsort(np.concatenate(order), kind="stable")
-    owners_in_order = np.concatenate(owners)[where]
-    return np.concatenate(hashes)[where], np.searchsorted(owners_in_order, np.arange(n + 1))
+        return np.zeros(0, np.uint64), np.zeros(2 * n + 1, np.int64)
+    group = np.concatenate(groups)
+    where = np.lexsort((np.concatenate(order), group))
+    return np.concatenate(hashes)[where], np.searchsorted(group[where], np.arange(2 * n + 1))
 
 
 def digests(texts: pa.Array, rank: np.ndarray) -> list[np.ndarray]:
-    """For each text its filters: rows of FILTER_BITS / 8 bytes, then two of the number of features."""
+    """For each text its filters: rows of FILTER_BITS / 8 bytes, then two of the number of features and SECOND."""
     hashes, offsets = features(texts, rank)
     if not len(hashes):
         return [np.zeros((0, FILTER_BITS // 8 + 2), np.uint8)] * len(texts)
     counts = np.diff(offsets)
-    owner = np.repeat(np.arange(len(texts)), counts)
+    owner = np.repeat(np.arange(len(counts)), counts)
     filters = -(-counts // PER_FILTER)
     first = np.concatenate([[0], np.cumsum(filters)])
     row = first[owner] + (np.arange(len(hashes)) - offsets[owner]) // PER_FILTER
     bits = np.zeros((int(first[-1]), FILTER_BITS), bool)
     for k in range(HASHES):
         bits[row, ((hashes >> np.uint64(11 * k)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
-    held = np.bincount(row, minlength=len(bits)).astype(">u2").view(np.uint8).reshape(-1, 2)
+    second = np.repeat(np.arange(len(counts)) % 2, filters) * SECOND
+    held = (np.bincount(row, minlength=len(bits)) + second).astype(">u2").view(np.uint8).reshape(-1, 2)
     whole = np.concatenate([np.packbits(bits, axis=1), held], axis=1)
-    return [whole[s:e] for s, e in zip(first[:-1], first[1:], strict=True)]
+    return [whole[s:e] for s, e in zip(first[:-1:2], first[2::2], strict=True)]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -150,10 +156,18 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
         return float(len(a) == len(b))
     if a.shape == b.shape and (a == b).all():
         return 1.0
-    of = lambda x: int(x[:, -2].astype(int).sum() * 256 + x[:, -1].astype(int).sum())
+    second_a, second_b = a[:, -2] >= SECOND >> 8, b[:, -2] >= SECOND >> 8
+    if second_a.any() and second_b.any():
+        a, b = a[second_a], b[second_b]
+    else:
+        a, b = a[~second_a], b[~second_b]
+    if not len(a) or not len(b):
+        return 0.0
+    held = lambda x: x[:, -2].astype(int) * 256 % SECOND + x[:, -1]
+    of = lambda x: int(held(x).sum())
     if (of(a), a.tobytes()) > (of(b), b.tobytes()):
         a, b = b, a
-    weight = a[:, -2].astype(float) * 256 + a[:, -1]
+    weight = held(a).astype(float)
     x, y = a[:, :-2], b[:, :-2]
     ones_x, ones_y = np.bitwise_count(x).sum(1).astype(float), np.bitwise_count(y).sum(1).astype(float)
     best = np.zeros(len(x))

@@ -140,6 +140,20 @@ def test_digest_likeness():
         assert digest.likeness(a[i], b[i]) == digest.likeness(b[i], a[i]) > 0.25 > digest.likeness(a[i], a[i + 1])
 
 
+def test_digest_likeness_across_lengths():
+    """Texts of 640 bytes and more, and shorter ones that share much with them."""
+    texts = [prose(400, s)[:986] for s in range(12)]
+    parts = [digest.edited(t, "so many words") for t in texts]
+    copies = [t[:620] for t in texts]
+    assert all(len(x) < 640 for x in parts + copies)
+    rank = digest.ranks(digest.histogram(pa.array(texts)))
+    a, b, c = (digest.digests(pa.array(x), rank) for x in (texts, parts, copies))
+    for i in range(12):
+        assert digest.likeness(a[i], b[i]) == digest.likeness(b[i], a[i]) > 0.25 > digest.likeness(a[i], b[i - 1])
+        assert digest.likeness(a[i], c[i]) > 0.5
+        assert digest.likeness(b[i], c[i]) > 0.25 > digest.likeness(b[i], c[i - 1])
+
+
 def test_line_quality(spark, docs, none):
     got = {(r["doc_id"], r["n_words"]): r for r in lines.line_quality(docs).collect()}
     for d, t in texts_of(docs):
