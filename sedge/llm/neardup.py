@@ -1,21 +1,23 @@
 """Near-duplicates by an LSH forest over MinHash signatures, links confirmed on the full shingle sets.
 
-A document's set holds its distinct word shingles as 64-bit hashes (40 bits of them where sets are compared);
-documents of one set form a class, and only one
-representative of each goes on. A tree is one order of the signature's coordinates: representatives that share its
-first `depth` minima form a region, and a region of more than REGION members is parted by the next coordinate, and
-the next, so the depth adapts to each region; small siblings are pooled. The representatives that lie in the most
-large regions of all trees are hubs: each is compared with every part of its region, so a star of edited copies
-holds together however deep its region was parted. Within a region, signatures first drop what has no partner near
-the limit; then all pairs of the rest are compared on whole sets, by one matrix product, and a spanning forest of
-the true links leaves the task.
-
-Parts and hubs only find groups early: after them, every large region is compared once more as it was before parting,
-in square tiles of two blocks. Left out are only pairs that can't matter: of one group already, or of sizes too far
-apart for the limit. So a family of n documents below the limit costs n x n / 2 comparisons in each tree that has it.
+A document's set holds its distinct word shingles as 64-bit hashes; documents of one set form a class, and one
+representative of each goes on. A tree is one order of the signature's coordinates. Representatives that share its
+first coordinates form a region; a region of at most REGION members is compared whole. A larger one is sorted by its
+further coordinates, so that neighbours have the longest common prefixes: overlapping windows of that order are compared,
+deep where the order is dense, each together with the region's hubs (the members of the most large regions, such
+as the centre of a star of edited copies). Regions of the same members are compared once.
+
+Windows and hubs only find groups early: after them, every large region is compared whole, in square tiles of two
+blocks. Left out are only pairs that can't matter: of one group already, or of sizes too far apart for the limit. So
+no pair that shares a region in any tree is lost, and n documents of a family below the limit cost about n x n / 2
+comparisons once, not once a tree.
+
+In a region, signatures first drop what has no partner near the limit; then all pairs of the rest are compared on
+whole sets, by one matrix product, and a spanning forest of the true links leaves the task.
 
 Defined results: a text without words, or null, has no shingle and is linked with nothing; one of fewer words than
-a shingle has its whole sequence as the only one; a null doc_id stays alone; rows of one doc_id count by their text.
+a shingle has its whole sequence as the only one; a null doc_id stays alone; rows of one doc_id count by their texts,
+and all of them are one node, so what is near any of these texts is in one group.
 """
 
 from __future__ import annotations
@@ -31,10 +33,11 @@ from pyspark.sql import functions as F
 from sedge.llm.common import Scratch, drop_copies, mixed, saved, small_batches, trim, utf8, word_hashes
 from sedge.llm.components import components
 
-TREES, COORDINATES, DEEPEST = 16, 64, 40
-REGION, HUBS = 128, 4
+TREES, COORDINATES = 16, 64
+#: A region of at most REGION members is compared whole at once. Windows of larger ones have 2 x STEP members and HUBS hubs, in the order of FURTHER more coordinates.
+REGION, STEP, HUBS, FURTHER = 128, 48, 4, 12
 #: Members and shingles of a block, about; a tile has two.
-BLOCK, WEIGHT = 256, 1 << 19
+BLOCK, WEIGHT = 512, 1 << 19
 XORS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64))
 ODDS = mixed(np.arange(1001, COORDINATES + 1001, dtype=np.uint64)) | np.uint64(1)
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -64,15 +67,6 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def packed(found: np.ndarray) -> bytes:
-    """The first five bytes of each hash: enough to tell the shingles of a few texts apart, and less to send."""
-    return found.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return wide.view(">u8").ravel().astype(np.uint64)
 
 
 def signature(found: np.ndarray) -> np.ndarray:
@@ -84,6 +78,11 @@ def signature(found: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def class_of(found: np.ndarray) -> tuple[int, int]:
+    """Two sums that name a set."""
+    return int(found.sum(dtype=np.uint64).view(np.int64)), int(mixed(found).sum(dtype=np.uint64).view(np.int64))
+
+
 def described(df: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, c1, c2 (the set's class), sig for every row."""
     small_batches(df.sparkSession)
@@ -93,11 +92,9 @@ def described(df: DataFrame, words: int, doc_id: str = "doc_id", text: str = "te
         for batch in batches:
             sets = shingle_sets(batch.column(1).fill_null(""), words)
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            with np.errstate(over="ignore"):
-                c1 = np.array([int(x.sum(dtype=np.uint64)) if len(x) else 0 for x in sets], np.uint64)
-                c2 = np.array([int(mixed(x).sum(dtype=np.uint64)) if len(x) else 0 for x in sets], np.uint64)
+            c1, c2 = np.array([class_of(x) for x in sets], np.int64).reshape(-1, 2).T
             sigs = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([signature(x) for x in sets]) if sets else np.zeros(0, np.int32)), COORDINATES).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), sigs], ["doc_id", "n_shingles", "c1", "c2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(c1), pa.array(c2), sigs], ["doc_id", "n_shingles", "c1", "c2", "sig"])
             trim()
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(describe, "doc_id long, n_shingles long, c1 long, c2 long, sig array<int>")
@@ -108,67 +105,118 @@ def first_depth(similarity: float, miss: float = 2e-5) -> int:
     return max([1, *(d for d in (2, 3, 4) if (1 - similarity**d) ** TREES <= miss)])
 
 
+def with_sizes(rows: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
+    """rows (tree, key, rep) with their region's size n. Regions of more than a task's share of the rows go by broadcast, the rest by a shuffle."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(REGION, TREES * total // (4 * parts))  # so at most 4 x parts regions are above it
+    hot = sizes.where(F.col("n") > most).collect()
+    if not hot:
+        return rows.join(sizes, ["tree", "key"])
+    few = F.broadcast(rows.sparkSession.createDataFrame(hot, "tree int, key long, n long"))
+    return rows.join(few, ["tree", "key"]).unionByName(rows.join(few, ["tree", "key"], "left_anti").join(sizes, ["tree", "key"]))
+
+
 def regions(reps: DataFrame, depth: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """tree, region, rep: the members of every region, hubs too, but not those that are alone in a tree; and tree, key, rep: the large regions whole, if any."""
+    """tree, region, rep: the small regions whole and the windows of the large ones; and tree, key, rep, n: the large regions, if any."""
     at = lambda t, i: F.get("sig", F.lit((4 * t + i) % COORDINATES))
     keys = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), *[at(t, i) for i in range(depth)]).alias("key")) for t in range(TREES)])
     rows = reps.select("rep", F.explode(keys).alias("k")).select("k.tree", "k.key", "rep")
-    sizes = rows.groupBy("tree", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = scratch.save(rows.join(sizes, ["tree", "key"]))
+    sizes = scratch.save(rows.groupBy("tree", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = scratch.save(with_sizes(rows, sizes, reps.count()))
     fit = members.where(F.col("n") <= REGION).select("tree", F.col("key").alias("region"), "rep")
     large = members.where(F.col("n") > REGION)
     if large.isEmpty():
         return fit, None
-    # hubs: in each of HUBS shares of a large region, the member of the most large regions
+    return fit.unionByName(neighbours(large, reps, depth, scratch)), large
+
+
+def neighbours(large: DataFrame, reps: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
+    """tree, region, rep: overlapping windows of each large region's members in the order of their further coordinates, with the region's hubs in each.
+
+    Who shares the longest prefix stands next to each other, so the depth of a window is as great as the place is dense.
+    """
+    place = [F.pmod(4 * F.col("tree") + depth + i, F.lit(COORDINATES)) for i in range(FURTHER)]
+    rows = scratch.save(large.join(reps.select("rep", "sig"), "rep").select("tree", "key", "rep", F.array(*[F.get("sig", p) for p in place]).alias("order")))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, run, at = None, 0, 0  # the region being walked, its name in this part, and the rows passed
+        for batch in batches:
+            if not len(batch):
+                continue
+            tree, key, rep = (batch.column(i).to_numpy() for i in range(3))
+            fresh = np.concatenate([[(int(tree[0]), int(key[0])) != last], (tree[1:] != tree[:-1]) | (key[1:] != key[:-1])])
+            starts = np.flatnonzero(fresh)
+            of = np.cumsum(fresh) - 1  # -1: the region goes on
+            with np.errstate(over="ignore"):
+                names = mixed(key[starts].view(np.uint64) ^ mixed(rep[starts].view(np.uint64) + tree[starts].astype(np.uint64)))
+                name = np.where(of < 0, np.uint64(run), names[of] if len(names) else np.uint64(run))
+                pos = np.arange(len(tree)) - np.where(of < 0, -at, starts[of] if len(starts) else 0)
+                window = pos // STEP
+                region = mixed(name + window.astype(np.uint64))
+                before = mixed(name + (window - 1).astype(np.uint64))
+            again = window > 0  # each row is in the window that begins at its step and in the one before
+            rows_ = [np.concatenate([x, x[again]]) for x in (tree, key)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows_[0]), pa.array(rows_[1]), pa.array(np.concatenate([region, before[again]]).view(np.int64)), pa.array(np.concatenate([rep, rep[again]]))], ["tree", "key", "region", "rep"])
+            last, run, at = (int(tree[-1]), int(key[-1])), int(name[-1]), int(pos[-1]) + 1
+
+    ordered = rows.repartitionByRange("tree", "key", "order", "rep").sortWithinPartitions("tree", "key", "order", "rep")
+    windows = scratch.save(ordered.select("tree", "key", "rep").mapInArrow(walk, "tree int, key long, region long, rep long"))
+    # hubs: in each of HUBS shares of a large region, the member of the most large regions, such as the centre of a star of edited copies
     score = large.groupBy("rep").agg(F.count("*").alias("score"))
     ranked = large.join(score, "rep").withColumn("share", F.pmod(F.xxhash64("rep", "tree"), F.lit(HUBS)))
-    hubs = ranked.groupBy("tree", "key", "share").agg(F.max(F.struct("score", (-F.col("rep")).alias("less"))).alias("m")).select("tree", F.col("key").alias("root"), (-F.col("m.less")).alias("rep"))
-    level = large.join(reps.select("rep", "sig"), "rep").select("tree", F.col("key").alias("root"), "key", "n", "rep", "sig", F.lit(depth).alias("depth"))
-    done = []
-    while True:
-        # the larger the region, the more coordinates at once
-        steps = F.when(F.col("n") > 16 * REGION, 4).when(F.col("n") > 4 * REGION, 2).otherwise(1)
-        place = [F.pmod(4 * F.col("tree") + F.col("depth") + i, F.lit(COORDINATES)) for i in range(4)]
-        child = F.xxhash64("key", *[F.when(steps > i, F.get("sig", p)) for i, p in enumerate(place)])
-        level = scratch.save(level.withColumns({"child": child, "depth": F.col("depth") + steps}))
-        level = level.join(level.groupBy("tree", "child").agg(F.count("*").alias("of_child")), ["tree", "child"])
-        pool = F.xxhash64(F.lit("pool"), "key", F.pmod("child", F.ceil(2 * F.col("n") / REGION)))
-        # alike in DEEPEST coordinates: any split will do, as the hubs join its parts
-        rest = F.xxhash64(F.lit("rest"), "child", F.pmod(F.xxhash64("rep"), F.ceil(F.col("of_child") / REGION)))
-        level = scratch.save(level.withColumn("region", F.when(F.col("of_child") <= REGION, pool).when(F.col("depth") >= DEEPEST, rest)))
-        done.append(level.where("region is not null").select("tree", "root", "region", "rep"))
-        level = level.where("region is null").select("tree", "root", F.col("child").alias("key"), F.col("of_child").alias("n"), "rep", "sig", "depth")
-        if level.isEmpty():
-            break
-    parts = done[0]
-    for more in done[1:]:
-        parts = parts.unionByName(more)
-    spread = parts.select("tree", "root", "region").distinct().join(hubs, ["tree", "root"]).select("tree", "region", "rep")
-    return fit.unionByName(parts.select("tree", "region", "rep").unionByName(spread).distinct()), large.select("tree", "key", "rep")
+    hubs = ranked.groupBy("tree", "key", "share").agg(F.max(F.struct("score", (-F.col("rep")).alias("less"))).alias("m")).select("tree", "key", (-F.col("m.less")).alias("rep"))
+    spread = windows.select("tree", "key", "region").distinct().join(hubs, ["tree", "key"])
+    return windows.unionByName(spread.select("tree", "key", "region", "rep")).select("tree", "region", "rep").distinct()
+
+
+def once(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """One of the regions that have the same members."""
+    members = scratch.save(members)
+    names = members.groupBy("tree", "region").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "rep")).alias("y"), F.count("*").alias("n"))
+    chosen = names.groupBy("x", "y", "n").agg(F.min(F.struct("tree", "region")).alias("t")).select("t.tree", "t.region")
+    return members.join(chosen, ["tree", "region"])
 
 
 def tiles(large: DataFrame, reps: DataFrame, found: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """tree, region, rep, kin (the group found so far): tiles that hold every pair of each large region, but pairs of one kin or of sizes too far apart."""
+    """tree, region, rep, kin (the group found so far): tiles that hold every pair of each large region, but pairs of one kin or of sizes too far apart.
+
+    The large regions of a family are much alike from tree to tree. So each member has a home, the largest of its
+    regions; where two homes meet in so many regions that comparing them whole is less work, they are compared once and
+    whole, otherwise region by region.
+    """
     # sets of a true link lie in one band of sizes or in neighbouring ones
     width = 1.001 * max(-math.log(max(similarity, 0.01)), 1e-3)
-    rows = large.join(reps.select("rep", "n_shingles"), "rep").join(found, "rep", "left")
-    rows = rows.select("tree", "key", "rep", "n_shingles", F.coalesce("component", "rep").alias("kin"), F.floor(F.log("n_shingles") / width).alias("band"))
+    homes = large.groupBy("rep").agg(F.max(F.struct("n", "tree", "key")).alias("h")).select("rep", F.xxhash64("h.tree", "h.key").alias("home"))
+    rows = large.join(reps.select("rep", "n_shingles"), "rep").join(homes, "rep").join(found, "rep", "left")
+    rows = rows.select(F.xxhash64("tree", "key").alias("scope"), "home", "rep", "n_shingles", F.coalesce("component", "rep").alias("kin"), F.floor(F.log("n_shingles") / width).alias("band"))
     rows = scratch.save(rows)
-    several = rows.groupBy("tree", "key").agg(F.min("kin").alias("a"), F.max("kin").alias("b")).where("a != b").select("tree", "key")
-    rows = rows.join(several, ["tree", "key"])
+    rows = rows.join(rows.groupBy("scope").agg(F.min("kin").alias("a"), F.max("kin").alias("b")).where("a != b").select("scope"), "scope")
+    whole = rows.drop("scope").distinct()
+    size = whole.groupBy("home").agg(F.count("*").alias("g"))
+    cells = scratch.save(rows.groupBy("scope", "home").agg(F.count("*").alias("c")))
+    met = cells.select("scope", F.col("home").alias("ha"), F.col("c").alias("ca")).join(cells.select("scope", F.col("home").alias("hb"), F.col("c").alias("cb")), "scope").where("ha <= hb")
+    both = met.groupBy("ha", "hb").agg(F.sum(F.col("ca").cast("double") * F.col("cb")).alias("work"))
+    both = both.join(size.select(F.col("home").alias("ha"), F.col("g").alias("ga")), "ha").join(size.select(F.col("home").alias("hb"), F.col("g").alias("gb")), "hb")
+    both = scratch.save(both.select("ha", "hb", (F.col("work") >= F.col("ga").cast("double") * F.col("gb")).alias("merged")))
+    # scope 0: homes whole
+    meets = both.where("merged").select(F.lit(0).cast("long").alias("scope"), "ha", "hb").unionByName(met.join(both.where("not merged"), ["ha", "hb"]).select("scope", "ha", "hb"))
+    meets = scratch.save(meets)
+    sides = meets.select("scope", F.explode(F.array_distinct(F.array("ha", "hb"))).alias("home")).distinct()
+    rows = whole.withColumn("scope", F.lit(0).cast("long")).unionByName(rows).join(sides, ["scope", "home"])
     # a kin of many members has blocks of its own, which needn't meet each other
-    many = rows.groupBy("tree", "key", "kin").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK).select("tree", "key", "kin", F.lit(True).alias("many"))
-    rows = rows.join(many, ["tree", "key", "kin"], "left").withColumn("pure", F.coalesce("many", F.lit(False))).withColumn("of", F.when(F.col("pure"), F.col("kin")).otherwise(0))
-    share = ["tree", "key", "pure", "of", "band"]
+    many = rows.groupBy("scope", "home", "kin").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK).select("scope", "home", "kin", F.lit(True).alias("many"))
+    rows = rows.join(many, ["scope", "home", "kin"], "left").withColumn("pure", F.coalesce("many", F.lit(False))).withColumn("of", F.when(F.col("pure"), F.col("kin")).otherwise(0))
+    share = ["scope", "home", "pure", "of", "band"]
+    rows = rows.select(*share, "rep", "kin", "n_shingles")
     blocks = rows.groupBy(share).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / WEIGHT)).alias("blocks"))
-    rows = scratch.save(rows.join(blocks, share).select(*share, F.pmod(F.xxhash64("rep"), "blocks").alias("block"), "rep", "kin"))
-    place = ["pure", "of", "band", "block"]
-    held = scratch.save(rows.select("tree", "key", F.struct(*place).alias("at")).distinct())
+    rows = scratch.save(rows.join(blocks, share).select("scope", F.struct("home", "pure", "of", "band", F.pmod(F.xxhash64("rep"), "blocks").alias("block")).alias("at"), "rep", "kin"))
+    held = rows.select("scope", "at").distinct()
     a, b = F.col("a"), F.col("b")
-    pairs = held.withColumnRenamed("at", "a").join(held.withColumnRenamed("at", "b"), ["tree", "key"])
-    pairs = pairs.where((a <= b) & (F.abs(a["band"] - b["band"]) <= 1) & ~(a["pure"] & b["pure"] & (a["of"] == b["of"])))
-    pairs = pairs.select("tree", "key", F.xxhash64("key", "a", "b").alias("region"), F.explode(F.array_distinct(F.array("a", "b"))).alias("at"))
-    return pairs.select("tree", "key", "region", "at.*").join(rows, ["tree", "key", *place]).select("tree", "region", "rep", "kin")
+    side = lambda name, home: held.select("scope", F.col("at").alias(name), F.col("at.home").alias(home))
+    pairs = meets.join(side("a", "ha"), ["scope", "ha"]).join(side("b", "hb"), ["scope", "hb"])
+    pairs = pairs.where(((F.col("ha") < F.col("hb")) | (a <= b)) & (F.abs(a["band"] - b["band"]) <= 1) & ~(a["pure"] & b["pure"] & (a["of"] == b["of"])))
+    pairs = pairs.select("scope", F.xxhash64("scope", "a", "b").alias("region"), F.explode(F.array_distinct(F.array("a", "b"))).alias("at"))
+    return pairs.join(rows, ["scope", "at"]).select(F.lit(TREES).alias("tree"), "region", "rep", "kin")
 
 
 def by_region(rows: DataFrame, columns: list[str], schema: str, work: Callable[[int, int, pa.Table], pa.RecordBatch | None]) -> DataFrame:
@@ -227,7 +275,7 @@ def true_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def link(tree: int, region: int, table: pa.Table) -> pa.RecordBatch | None:
         rep, kin = table["rep"].to_numpy(), table["kin"].to_numpy()
-        sets_ = [unpacked(x) for x in table["shingles"].to_pylist()]
+        sets_ = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
         n = len(sets_)
         size = np.fromiter(map(len, sets_), np.int64, n)
         flat, owner = np.concatenate(sets_), np.repeat(np.arange(n), size)
@@ -238,9 +286,10 @@ def true_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         order = np.argsort(at, kind="stable")
         at, owner = at[order], owner[order]
         both = np.zeros((n, n), np.float64)
-        for k in range(0, int(at[-1]) + 1 if len(at) else 0, 8192):
+        used = int(at[-1]) + 1 if len(at) else 0
+        for k in range(0, used, 8192):
             s, e = np.searchsorted(at, [k, k + 8192])
-            m = np.zeros((n, 8192), np.float32)
+            m = np.zeros((n, min(8192, used - k)), np.float32)
             m[owner[s:e], at[s:e] - k] = 1
             both += m @ m.T
         linked = 100 * both >= percent * (size[:, None] + size[None] - both)
@@ -262,25 +311,28 @@ def true_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(df: DataFrame, reps: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """rep, shingles (binary) of the representatives that take part."""
+    """rep, shingles (binary) of the representatives that take part. Of several texts of one doc_id, the one of the class is taken."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(x) for x in shingle_sets(batch.column(1).fill_null(""), words)], pa.binary())], ["rep", "shingles"])
+            sets = shingle_sets(batch.column(1).fill_null(""), words)
+            right = np.array([class_of(x)[0] for x in sets], np.int64) == batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[right]), pa.array([x.tobytes() for x, r in zip(sets, right, strict=True) if r], pa.binary())], ["rep", "shingles"])
             trim()
 
-    chosen = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(reps.select("rep", "c1", "c2"), "rep")
-    return chosen.select("rep", "text").mapInArrow(make, "rep long, shingles binary")
+    chosen = df.select(F.col(doc_id).cast("long").alias("least"), F.col(text).alias("text")).join(reps.select("least", "rep", "c1"), "least")
+    return chosen.select("rep", "text", "c1").mapInArrow(make, "rep long, shingles binary")
 
 
 def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links), kept (doc_id = component_id) for every row."""
     docs = saved(described(df, words, doc_id, text), "sets")
-    # a class for each set; one text of a doc_id stands for it if rows repeat the id
-    known = docs.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = known.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = known.select("c1", "c2", "n_shingles", F.col("doc_id").alias("rep"), "sig").join(classes, ["c1", "c2", "n_shingles", "rep"]).dropDuplicates(["rep"])
     scratch = Scratch(df.sparkSession, "regions")
+    shared = ["c1", "c2", "n_shingles"]
+    known = docs.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    # a class for each set, numbered once and written
+    classes = scratch.save(known.groupBy(shared).agg(F.min("doc_id").alias("least")).withColumn("rep", F.monotonically_increasing_id()))
+    reps = known.select(*shared, F.col("doc_id").alias("least"), "sig").join(classes, [*shared, "least"]).dropDuplicates(["rep"])
     reps = scratch.save(reps)
 
     def links_of(candidates: DataFrame) -> DataFrame:
@@ -290,14 +342,20 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_
         return true_links(members, sets, round(100 * similarity))
 
     parts, large = regions(reps, first_depth(similarity), scratch)
-    found = components(links_of(parts.withColumn("kin", F.col("rep")))).withColumnRenamed("node", "rep")
+    links = links_of(once(parts, scratch).withColumn("kin", F.col("rep")))
+    # texts of one doc_id are one node
+    several = known.groupBy("doc_id").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a != b").select("doc_id")
+    texts = known.join(several, "doc_id").join(classes, shared).select("doc_id", "rep").distinct()
+    links = links.unionByName(texts.join(texts.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b"))
+    found = components(links).withColumnRenamed("node", "rep")
     if large is not None:
         more = scratch.save(links_of(tiles(large, reps, found, similarity, scratch)))
         if not more.isEmpty():
             found = components(found.select(F.col("rep").alias("a"), F.col("component").alias("b")).unionByName(more)).withColumnRenamed("node", "rep")
+    named = classes.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = saved(named.join(least, "component").select(*shared, "component_id"), "groups")
     scratch.clear()
-    named = classes.join(found, "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = docs.drop("sig").join(named, ["c1", "c2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    out = docs.drop("sig").join(named, shared, "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return out.select("doc_id", "n_shingles", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -318,6 +318,31 @@ def test_near_duplicates_in_a_family_below_the_limit(spark, monkeypatch):
     assert got == {d: c for d, (_, c) in want.items()}
 
 
+def test_near_duplicates_in_a_large_family(spark):
+    """Parameters as shipped: 1,000 pairs over one template, all different pairs below the limit, compared with all pairs by matrix product."""
+    rows = templated(1000, 3, 0.78, 0.87)
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for _, t in rows)]
+    names = {g: i for i, g in enumerate(g for g, n in Counter(g for s in sets for g in s).items() if n > 1)}
+    m = np.zeros((len(rows), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [names[g] for g in s if g in names]] = 1
+    size, both = np.array([len(s) for s in sets]), m @ m.T
+    a, b = np.nonzero(np.triu(100 * both >= 85 * (size[:, None] + size[None] - both), 1))
+    links = spark.createDataFrame([(rows[i][0], rows[j][0]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], "a long, b long")
+    want = {d: d for d, _ in rows} | {x["node"]: x["component"] for x in components.components(links).collect()}
+    assert len(a) >= 1000
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), words=3, similarity=0.85).collect()}
+    assert got == want
+
+
+def test_texts_of_one_id_are_one_node(spark):
+    x, y = prose(120, 31), prose(120, 32)
+    rows = [(1, x), (1, y), (2, x + " zz"), (3, y + " zz"), (4, prose(120, 33))]
+    for order in (rows, rows[::-1]):
+        got = neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string"), words=3, similarity=0.85).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_pipeline_keeps_one_of_each_pair_in_a_family(spark, monkeypatch):
     monkeypatch.setattr(neardup, "REGION", 8)
     rows = templated(150, 5, 0.75, 0.82)
