@@ -38,6 +38,8 @@ TREES, COORDINATES = 16, 64
 REGION, STEP, HUBS, FURTHER = 128, 48, 4, 12
 #: Members and shingles of a block, about; a tile has two.
 BLOCK, WEIGHT = 512, 1 << 19
+#: The band of a block whose members are of any size.
+ANY = -1
 XORS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64))
 ODDS = mixed(np.arange(1001, COORDINATES + 1001, dtype=np.uint64)) | np.uint64(1)
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -177,12 +179,28 @@ def once(members: DataFrame, scratch: Scratch) -> DataFrame:
     return members.join(chosen, ["tree", "region"])
 
 
+def spread_join(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """rows joined with few, which has one row at most for each 100 or so of rows; a key may be that of most rows."""
+    few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts))).join(few, [*on, "salt"], how).drop("salt")
+
+
+def meetings(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """scope, ha, hb, ga, gb (their sizes), merged, for every two homes of which a region has members; merged: their regions together ask for more comparisons than the homes whole."""
+    cells = scratch.save(rows.groupBy("scope", "home").agg(F.count("*").alias("c")))
+    size = scratch.save(rows.select("home", "rep").distinct().groupBy("home").agg(F.count("*").alias("g")))
+    one = lambda x: cells.join(size, "home").select("scope", F.col("home").alias(f"h{x}"), F.col("c").cast("double").alias(f"c{x}"), F.col("g").alias(f"g{x}"))
+    met = scratch.save(one("a").join(one("b"), "scope").where("ha <= hb"))
+    both = met.groupBy("ha", "hb").agg((F.sum(F.col("ca") * F.col("cb")) >= F.first("ga").cast("double") * F.first("gb")).alias("merged"))
+    return scratch.save(met.join(both, ["ha", "hb"]).select("scope", "ha", "hb", "ga", "gb", "merged"))
+
+
 def tiles(large: DataFrame, reps: DataFrame, found: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """tree, region, rep, kin (the group found so far): tiles that hold every pair of each large region, but pairs of one kin or of sizes too far apart.
 
     The large regions of a family are much alike from tree to tree. So each member has a home, the largest of its
-    regions; where two homes meet in so many regions that comparing them whole is less work, they are compared once and
-    whole, otherwise region by region.
+    regions; homes that comparing whole is less work than region by region are merged and compared once, and only
+    regions with other homes are compared by themselves.
     """
     # sets of a true link lie in one band of sizes or in neighbouring ones
     width = 1.001 * max(-math.log(max(similarity, 0.01)), 1e-3)
@@ -190,31 +208,39 @@ def tiles(large: DataFrame, reps: DataFrame, found: DataFrame, similarity: float
     rows = large.join(reps.select("rep", "n_shingles"), "rep").join(homes, "rep").join(found, "rep", "left")
     rows = rows.select(F.xxhash64("tree", "key").alias("scope"), "home", "rep", "n_shingles", F.coalesce("component", "rep").alias("kin"), F.floor(F.log("n_shingles") / width).alias("band"))
     rows = scratch.save(rows)
-    rows = rows.join(rows.groupBy("scope").agg(F.min("kin").alias("a"), F.max("kin").alias("b")).where("a != b").select("scope"), "scope")
-    whole = rows.drop("scope").distinct()
-    size = whole.groupBy("home").agg(F.count("*").alias("g"))
-    cells = scratch.save(rows.groupBy("scope", "home").agg(F.count("*").alias("c")))
-    met = cells.select("scope", F.col("home").alias("ha"), F.col("c").alias("ca")).join(cells.select("scope", F.col("home").alias("hb"), F.col("c").alias("cb")), "scope").where("ha <= hb")
-    both = met.groupBy("ha", "hb").agg(F.sum(F.col("ca").cast("double") * F.col("cb")).alias("work"))
-    both = both.join(size.select(F.col("home").alias("ha"), F.col("g").alias("ga")), "ha").join(size.select(F.col("home").alias("hb"), F.col("g").alias("gb")), "hb")
-    both = scratch.save(both.select("ha", "hb", (F.col("work") >= F.col("ga").cast("double") * F.col("gb")).alias("merged")))
-    # scope 0: homes whole
-    meets = both.where("merged").select(F.lit(0).cast("long").alias("scope"), "ha", "hb").unionByName(met.join(both.where("not merged"), ["ha", "hb"]).select("scope", "ha", "hb"))
-    meets = scratch.save(meets)
+    several = rows.groupBy("scope").agg(F.min("kin").alias("least"), F.max("kin").alias("most")).where("least != most").select("scope")
+    rows = scratch.save(spread_join(rows, several, ["scope"]))
+    near = meetings(rows, scratch).where("merged").select("ha", "hb", "ga", "gb").distinct()
+    ends = near.select(F.col("ha").alias("home"), F.struct(F.col("gb").alias("g"), F.col("hb").alias("h")).alias("f")).unionByName(near.select(F.col("hb").alias("home"), F.struct(F.col("ga").alias("g"), F.col("ha").alias("h")).alias("f")))
+    families = ends.groupBy("home").agg(F.max("f").alias("f")).select("home", F.col("f.h").alias("family"))
+    rows = scratch.save(spread_join(rows, families, ["home"], "left").withColumn("home", F.coalesce("family", "home")).drop("family"))
+    met = meetings(rows, scratch)
+    scopes = scratch.save(met.groupBy("scope").agg(F.min("merged").alias("covered")))
+    # scope 0: homes whole; home 0: regions by themselves
+    nought = F.lit(0).cast("long")
+    meets = met.join(scopes.where("covered"), "scope").select(nought.alias("scope"), "ha", "hb").distinct()
+    meets = scratch.save(meets.unionByName(scopes.where("not covered").select("scope", nought.alias("ha"), nought.alias("hb"))))
     sides = meets.select("scope", F.explode(F.array_distinct(F.array("ha", "hb"))).alias("home")).distinct()
-    rows = whole.withColumn("scope", F.lit(0).cast("long")).unionByName(rows).join(sides, ["scope", "home"])
+    rows = rows.drop("scope").distinct().withColumn("scope", nought).unionByName(rows.withColumn("home", nought))
+    rows = scratch.save(spread_join(rows, sides, ["scope", "home"]).select("scope", "home", "rep", "kin", "band", "n_shingles"))
     # a kin of many members has blocks of its own, which needn't meet each other
     many = rows.groupBy("scope", "home", "kin").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK).select("scope", "home", "kin", F.lit(True).alias("many"))
-    rows = rows.join(many, ["scope", "home", "kin"], "left").withColumn("pure", F.coalesce("many", F.lit(False))).withColumn("of", F.when(F.col("pure"), F.col("kin")).otherwise(0))
-    share = ["scope", "home", "pure", "of", "band"]
-    rows = rows.select(*share, "rep", "kin", "n_shingles")
-    blocks = rows.groupBy(share).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / WEIGHT)).alias("blocks"))
-    rows = scratch.save(rows.join(blocks, share).select("scope", F.struct("home", "pure", "of", "band", F.pmod(F.xxhash64("rep"), "blocks").alias("block")).alias("at"), "rep", "kin"))
+    rows = spread_join(rows, many, ["scope", "home", "kin"], "left").withColumn("pure", F.coalesce("many", F.lit(False))).withColumn("of", F.when(F.col("pure"), F.col("kin")).otherwise(0))
+    rows = scratch.save(rows.drop("many"))
+    # what doesn't fill a block isn't parted by bands
+    lot, share = ["scope", "home", "pure", "of"], ["scope", "home", "pure", "of", "band"]
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / WEIGHT))
+    parted = rows.groupBy(lot).agg(blocks.alias("n")).where("n > 1").select(*lot, F.lit(True).alias("parted"))
+    rows = scratch.save(spread_join(rows, parted, lot, "left").withColumn("band", F.when(F.col("parted"), F.col("band")).otherwise(ANY)).drop("parted"))
+    several = rows.groupBy(share).agg(blocks.alias("blocks")).where("blocks > 1")
+    rows = spread_join(rows, several, share, "left").withColumn("block", F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))))
+    rows = scratch.save(rows.select("scope", F.struct("home", "pure", "of", "band", "block").alias("at"), "rep", "kin"))
     held = rows.select("scope", "at").distinct()
     a, b = F.col("a"), F.col("b")
     side = lambda name, home: held.select("scope", F.col("at").alias(name), F.col("at.home").alias(home))
     pairs = meets.join(side("a", "ha"), ["scope", "ha"]).join(side("b", "hb"), ["scope", "hb"])
-    pairs = pairs.where(((F.col("ha") < F.col("hb")) | (a <= b)) & (F.abs(a["band"] - b["band"]) <= 1) & ~(a["pure"] & b["pure"] & (a["of"] == b["of"])))
+    close = (F.abs(a["band"] - b["band"]) <= 1) | (a["band"] == ANY) | (b["band"] == ANY)
+    pairs = pairs.where(((F.col("ha") < F.col("hb")) | (a <= b)) & close & ~(a["pure"] & b["pure"] & (a["of"] == b["of"])))
     pairs = pairs.select("scope", F.xxhash64("scope", "a", "b").alias("region"), F.explode(F.array_distinct(F.array("a", "b"))).alias("at"))
     return pairs.join(rows, ["scope", "at"]).select(F.lit(TREES).alias("tree"), "region", "rep", "kin")
 
