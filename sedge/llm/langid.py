@@ -1,11 +1,14 @@
 """Language by nearest centroid: normalised TF-IDF vectors of byte trigrams, several centroids a language, cosine.
 
 The model learns from a bounded sample: about train_docs documents of each language (chosen by a hash of doc_id, so
-alike at any size); one sparse vector for each comes to the driver. A document whose best cosine is below the
-rejection limit is rejected, if its text is long enough for a cosine to tell; its nearest language is still named.
-
-Defined results: `und` and score 0 for a null text or one without a letter; texts of unknown script have cosine near
-0 and are rejected; without any training row every text is `und`.
+alike at any size); one sparse vector for each comes to the driver. Cosines grow with the text, so each language has a
+rejection limit for each class of lengths (powers of two code points): a share of the training rows' median cosine. A
+document whose best cosine is below it is rejected; its nearest language is still named. Texts below 200 code points,
+and classes of fewer than 10 training rows in all shorter ones too, are never rejected by distance.
+
+Defined results: `und` and score 0 for a null text or one without a letter, and both are rejected; texts of unknown
+script have cosine near 0 and are rejected if they aren't short; without any training row every text is `und`. Rows with
+a null doc_id are dealt to the sample by their text. lang_pred, score and rejected replace columns of these names.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 from sedge.llm.common import drop_copies, held_out, small_batches, trim, utf8
 
 DIMENSIONS = 1 << 13
+#: Texts of fewer code points are never rejected by distance; classes of lengths.
+JUDGED, CLASSES = 200, 16
 #: Bytes that part words: all of ASCII but letters.
 PARTED = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
@@ -60,7 +65,10 @@ class LanguageModel:
     owner: np.ndarray  # the language of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    limit: float
+    limits: np.ndarray  # by language and class of lengths
+
+    def rejected(self, best: np.ndarray, score: np.ndarray, n_chars: np.ndarray) -> np.ndarray:
+        return (score < self.limits[best, length_class(n_chars)]) & (n_chars >= JUDGED)
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Index of the nearest centroid's language and the cosine, for each text."""
@@ -75,6 +83,10 @@ class LanguageModel:
         return best, np.clip(score, 0, 1)
 
 
+def length_class(n_chars: np.ndarray) -> np.ndarray:
+    return np.clip(np.log2(np.maximum(n_chars, 1)).astype(np.int64), 0, CLASSES - 1)
+
+
 def clustered(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means with farthest-first starts."""
     chosen = [int((rows @ unit(rows.mean(0))).argmax())]
@@ -87,62 +99,73 @@ def clustered(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
-def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = 400, centroids: int = 3, slack: float = 0.5) -> LanguageModel:
-    """Fit on about train_docs documents a language, never on held-out ones. slack: the rejection limit as a share of the training rows' lowest cosine."""
+def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = 400, centroids: int = 3, slack: float = 0.55) -> LanguageModel:
+    """Fit on about train_docs documents a language, never on held-out ones. slack: the rejection limit as a share of the median cosine."""
     known = df.select(doc_id, text, lang).where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     sizes = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}  # one row a language
     if not sizes:
-        return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32), np.ones(DIMENSIONS, np.float32), 1.0)
+        return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32), np.ones(DIMENSIONS, np.float32), np.zeros((0, CLASSES)))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, train_docs / n))])
-    sample = known.where(F.pmod(F.xxhash64(F.lit("langid"), doc_id), F.lit(1_000_000)) < share[F.col(lang)] * 1_000_000)
+    sample = known.where(F.pmod(F.xxhash64(F.lit("langid"), F.coalesce(F.col(doc_id).cast("string"), F.col(text))), F.lit(1_000_000)) < share[F.col(lang)] * 1_000_000)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_copies()
         for batch in batches:
             for k in range(0, len(batch), 64):
                 part = batch.slice(k, 64)
                 counts = counts_of(part.column(0))
                 used = [np.flatnonzero(row) for row in counts]
                 values = [row[u].astype(np.int32) for row, u in zip(counts, used, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([u.astype(np.int32) for u in used], pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int32()))], ["lang", "dims", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([u.astype(np.int32) for u in used], pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int32())), pc.utf8_length(part.column(0)).cast(pa.int64())], ["lang", "dims", "counts", "n_chars"])
 
     small_batches(df.sparkSession)
-    rows = sample.select(text, F.col(lang).cast("string").alias("lang")).mapInArrow(vectors, "lang string, dims array<int>, counts array<int>").toArrow()
+    rows = sample.select(text, F.col(lang).cast("string").alias("lang")).mapInArrow(vectors, "lang string, dims array<int>, counts array<int>, n_chars long").toArrow()
     tf = np.zeros((len(rows), DIMENSIONS), np.float32)
     for i, (dims, counts) in enumerate(zip(rows["dims"].to_pylist(), rows["counts"].to_pylist(), strict=True)):
         tf[i, dims] = np.log1p(counts)
     order = np.lexsort((tf.sum(1), np.array(rows["lang"].to_pylist())))  # whatever order the rows came in
-    tf, labels = tf[order], np.array(rows["lang"].to_pylist())[order]
+    tf, labels, n_chars = tf[order], np.array(rows["lang"].to_pylist())[order], rows["n_chars"].to_numpy()[order]
     idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))).astype(np.float32) + 0.1
     vec = unit(tf * idf)
     languages = sorted(set(labels.tolist()))
     found = [clustered(vec[labels == x], centroids) for x in languages]
     owner = np.repeat(np.arange(len(languages)), [len(f) for f in found])
     every = np.concatenate(found)
-    lowest = float((vec @ every.T).max(1).min())
-    return LanguageModel(languages, owner, every, idf, slack * lowest)
-
-
-def predicted(df: DataFrame, model: LanguageModel, text: str = "text", judged: int = 100) -> DataFrame:
-    """df with lang_pred, score (the cosine, 0 to 1), rejected (by distance only from judged code points on)."""
+    model = LanguageModel(languages, owner, every, idf, np.zeros((len(languages), CLASSES)))
+    best, classes = (vec @ every.T).max(1), length_class(n_chars)
+    for i, x in enumerate(languages):
+        for c in range(CLASSES):
+            here = best[(labels == x) & (classes == c)]
+            # a class of few rows takes the limit of the shorter ones
+            model.limits[i, c] = slack * float(np.median(here)) if len(here) >= 10 else (model.limits[i, c - 1] if c else 0.0)
+    return model
+
+
+def predicted(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """df with lang_pred, score (the cosine, 0 to 1), rejected."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)  # some centroids a language
     small_batches(spark)
 
-    @F.arrow_udf("struct<lang:string,score:double>")
+    @F.arrow_udf("struct<lang:string,score:double,far:boolean>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         drop_copies()
         m = shared.value
         names = np.array([*m.languages, "und"], object)
         for texts in batches:
             best, score = m.predict(texts) if m.languages else (np.zeros(len(texts), np.int64), np.zeros(len(texts)))
-            yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score)], ["lang", "score"])
+            n_chars = pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+            far = m.rejected(best, score, n_chars) if m.languages else np.ones(len(texts), bool)
+            yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score), pa.array(far)], ["lang", "score", "far"])
             trim()
 
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(model.languages))
-    out = df.withColumn("_p", predict(F.col(text))).withColumn("_l", lettered)
+    # nondeterministic: a filter on what it gives mustn't run it twice
+    p, known = "_sedge_prediction", "_sedge_lettered"
+    out = df.drop("lang_pred", "score", "rejected").withColumn(p, predict.asNondeterministic()(F.col(text))).withColumn(known, lettered)
     return (
-        out.withColumn("lang_pred", F.when(F.col("_l"), F.col("_p.lang")).otherwise("und"))
-        .withColumn("score", F.when(F.col("_l"), F.col("_p.score")).otherwise(0.0))
-        .withColumn("rejected", (F.col("lang_pred") == "und") | ((F.col("score") < model.limit) & (F.length(text) >= judged)))
-        .drop("_p", "_l")
+        out.withColumn("lang_pred", F.when(F.col(known), F.col(f"{p}.lang")).otherwise("und"))
+        .withColumn("score", F.when(F.col(known), F.col(f"{p}.score")).otherwise(0.0))
+        .withColumn("rejected", (F.col("lang_pred") == "und") | F.col(f"{p}.far"))
+        .drop(p, known)
     )
