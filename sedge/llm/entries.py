@@ -21,7 +21,7 @@ def tokenizer_path() -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mixed_documents(documents(spark, sf_dir, "doc_id", "source", "text"))
+    out = mixing.mixed_documents(documents(spark, sf_dir, "doc_id", "source", "text"), mixing.Mix(extra=1.25))
     names = {"_tokens": "n_tokens", "_pass": "pass", "_block": "block", "_slot": "slot", "_weight": "weight", "_position": "position"}
     return out.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), *[F.col(a).alias(b) for a, b in names.items()])
 
@@ -48,7 +48,7 @@ def op4_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.line_quality(documents(spark, sf_dir, "doc_id", "text", "source"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "kept")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "n_left_chars", "kept")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Lines are normalised (lower case, digits to 0, separators to one space, trimmed) and hashed; each line counts once
 for each distinct text of its host, so exact copies count once. A line of more than max(least, share x the host's
-distinct texts) of them is boilerplate; a document that loses more than max_lost of its words with such lines is depleted.
+distinct texts) of them is boilerplate and is removed; a document that loses more than max_lost of its words is depleted.
+Distinct texts are counted rather than rows, as else every line of a text that was copied often would be boilerplate.
 
 Defined results: a null text has no words and fails the base rule; a null host is a host of its own; repeated rows
 and equal or null ids each keep their row.
@@ -94,34 +95,63 @@ def frequent_lines(lines: DataFrame, texts: DataFrame, least: int, share: float)
     return counts.join(limits, "_host").where(F.col("n") > F.col("most")).select("_host", "_line")
 
 
-def line_words_lost(df: DataFrame, host: str = "source", text: str = "text", least: int = 30, share: float = 0.005) -> DataFrame:
-    """_host, _doc, lost: words on frequent lines, for each distinct text that has such lines."""
-    docs = keyed(df.select(host, text), host, text)
-    texts = saved(docs.groupBy("_host", "_doc").agg(F.count("*").alias("copies")), "texts")
-    pairs = F.transform(
-        F.filter(F.split(F.col(text), "\n"), lambda x: F.translate(x, SEPARATORS, "") != ""),
+def line_hashes(text: Column) -> Column:
+    """The hash and the words of each line with a word, in order."""
+    return F.transform(
+        F.filter(F.split(text, "\n"), has_word),
         lambda x: let(normal_line(x), lambda y: F.struct(F.xxhash64(y).alias("line"), (F.length(y) - F.length(F.translate(y, " ", "")) + 1).alias("words"))),
     )
-    lines = docs.select("_host", "_doc", F.explode(pairs).alias("p")).select("_host", "_doc", F.col("p.line").alias("_line"), F.col("p.words").alias("words"))
+
+
+def has_word(line: Column) -> Column:
+    return F.translate(line, SEPARATORS, "") != ""
+
+
+def frequent_of_texts(df: DataFrame, host: str, text: str, least: int, share: float) -> DataFrame:
+    """_host, _doc, _bad (hashes of its frequent lines), lost (words on them), for each distinct text that has such lines."""
+    docs = keyed(df.select(host, text), host, text)
+    texts = saved(docs.groupBy("_host", "_doc").agg(F.count("*").alias("copies")), "texts")
+    lines = docs.select("_host", "_doc", F.explode(line_hashes(F.col(text))).alias("p")).select("_host", "_doc", F.col("p.line").alias("_line"), F.col("p.words").alias("words"))
     lines = saved(lines, "lines")  # hashes only; both the counting and the losses read them
     salt = F.pmod(F.xxhash64("_doc"), F.lit(SALTS))
     frequent = frequent_lines(lines, texts, least, share).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    lost = lines.withColumn("_salt", salt).join(frequent, ["_host", "_line", "_salt"]).groupBy("_host", "_doc").agg(F.sum("words").alias("lost"))
+    lost = lines.withColumn("_salt", salt).join(frequent, ["_host", "_line", "_salt"]).groupBy("_host", "_doc", "_line").agg(F.sum("words").alias("words"))
+    lost = lost.groupBy("_host", "_doc").agg(F.collect_list("_line").alias("_bad"), F.sum("words").alias("lost"))  # no more than a text's own lines
     # a text of several copies was summed as often
-    return lost.join(texts, ["_host", "_doc"]).select("_host", "_doc", (F.col("lost") / F.col("copies")).cast("long").alias("lost"))
+    return lost.join(texts, ["_host", "_doc"]).select("_host", "_doc", "_bad", (F.col("lost") / F.col("copies")).cast("long").alias("lost"))
+
+
+def marked(df: DataFrame, docs: DataFrame, host: str, text: str, least: int, share: float) -> DataFrame:
+    """docs (rows of df with more columns) with _bad and lost; null where a text has no frequent line."""
+    lost = frequent_of_texts(df, host, text, least, share).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    # copies of one text can be many: they are spread over the salts before the join
+    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != text]) if len(df.columns) > 1 else F.monotonically_increasing_id(), F.lit(SALTS))
+    return keyed(docs, host, text).withColumn("_salt", spread).join(lost, ["_host", "_doc", "_salt"], "left")
+
+
+def left_text(text: Column, bad: Column) -> Column:
+    """The text without the lines whose hashes are in bad."""
+    return F.when(bad.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~(has_word(x) & F.array_contains(bad, F.xxhash64(normal_line(x))))), "\n"))
+
+
+OWN = ("_host", "_doc", "_salt", "_counts", "_bad", "lost", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "n_left_chars", "kept")
+
+
+def without_frequent_lines(df: DataFrame, host: str = "source", text: str = "text", least: int = 5, share: float = 0.01) -> DataFrame:
+    """df with the frequent lines removed from its text; no row goes."""
+    df = df.drop("_host", "_doc", "_salt", "_bad", "lost")
+    return marked(df, df, host, text, least, share).withColumn(text, left_text(F.col(text), F.col("_bad"))).select(*df.columns)
 
 
 def line_quality(
-    df: DataFrame, host: str = "source", text: str = "text", least: int = 30, share: float = 0.005, max_lost: float = 0.5
+    df: DataFrame, host: str = "source", text: str = "text", least: int = 5, share: float = 0.01, max_lost: float = 0.5
 ) -> DataFrame:
-    """df's rows without the text, with the base counts, n_lost_words, kept; columns of the names used here are replaced."""
-    df = df.drop("_host", "_doc", "_salt", "_counts", "lost", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "kept")
-    lost = line_words_lost(df, host, text, least, share).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    # copies of one text can be many: they are spread over the salts before the join
-    docs = keyed(base_counts(df, text), host, text).drop(text).withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns if c != text]), F.lit(SALTS)))
-    out = docs.join(lost, ["_host", "_doc", "_salt"], "left").withColumn("n_lost_words", F.coalesce("lost", F.lit(0)))
+    """df's rows with the frequent lines removed from the text, the base counts of the whole text, n_lost_words, n_left_chars, kept; columns of the names used here are replaced."""
+    df = df.drop(*OWN)
+    out = marked(df, base_counts(df, text), host, text, least, share).withColumn("n_lost_words", F.coalesce("lost", F.lit(0)))
+    out = out.withColumn(text, left_text(F.col(text), F.col("_bad"))).withColumn("n_left_chars", F.length(F.coalesce(text, F.lit(""))).cast("long"))
     depleted = F.col("n_lost_words") > max_lost * F.col("n_words")
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_host", "_doc", "_salt", "lost")
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_host", "_doc", "_salt", "_bad", "lost")
 
 
 SQL = """
@@ -133,16 +163,17 @@ rep AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT doc
 ln AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
 good AS (SELECT doc_id, host, text, line FROM ln WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM good GROUP BY doc_id),
-norm AS (SELECT doc_id, host, text, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS line FROM good),
+norm AS (SELECT doc_id, host, text, length(line) AS size, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS line FROM good),
 freq AS (SELECT host, line, count(DISTINCT text) AS n FROM norm GROUP BY host, line),
-lim AS (SELECT host, greatest(30.0, count(DISTINCT text) * 0.005) AS most FROM d GROUP BY host),
-lost AS (SELECT n.doc_id, sum(len(string_split(n.line, ' '))) AS n FROM norm n JOIN freq f USING (host, line) JOIN lim l USING (host) WHERE f.n > 30 AND f.n > l.most GROUP BY n.doc_id),
+lim AS (SELECT host, greatest(5.0, count(DISTINCT text) * 0.01) AS most FROM d GROUP BY host),
+lost AS (SELECT n.doc_id, sum(len(string_split(n.line, ' '))) AS n, sum(n.size + 1) AS chars FROM norm n JOIN freq f USING (host, line) JOIN lim l USING (host) WHERE f.n > 5 AND f.n > l.most GROUP BY n.doc_id),
 c AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-  CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_lost_words
+  CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_lost_words,
+  CAST(greatest(length(text) - coalesce(lost.chars, 0), 0) AS BIGINT) AS n_left_chars
   FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
 b AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM c)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lost_words,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lost_words, n_left_chars,
   (NOT base_failed AND NOT n_lost_words > 0.5 * n_words) AS kept
 FROM b
 """

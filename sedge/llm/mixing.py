@@ -3,7 +3,7 @@
 A source's share of all tokens, raised to an exponent from 0 (all alike) to 1 (as they are) and normalised, is its
 weight. The exponent is the largest of two that bisection finds: the one whose weights' entropy is target_entropy
 times the greatest, and the least at which no source is repeated more than max_repeats times. The budget in tokens
-is given, or the least that lets every source pass once, so that no document is lost.
+is given, or `extra` times the least that lets every source pass once, so that no document is lost.
 
 A source's documents are dealt to blocks by a hash; pass by pass, the blocks follow in an order of their own, and
 the last pass ends where the budget does, within a block at a document. position is a row's place in its source's
@@ -35,6 +35,7 @@ class Mix:
     target_entropy: float = 0.97
     max_repeats: float = 2.0
     budget: int | None = None
+    extra: float = 1.0
     block_tokens: int = 1 << 14
     max_blocks: int = 1 << 12
     seed: int = 17
@@ -67,7 +68,7 @@ def bisected(too_flat) -> float:
 def exponent(tokens: list[int], mix: Mix) -> float:
     def repeats(x: float) -> float:
         w = weights(tokens, x)
-        budget = least_budget(tokens, w) if mix.budget is None else mix.budget
+        budget = mix.extra * least_budget(tokens, w) if mix.budget is None else mix.budget
         return max(budget * a / t for a, t in zip(w, tokens, strict=True))
 
     most = math.log(len(tokens))
@@ -81,7 +82,7 @@ def budgets(tokens: dict[str, int], mix: Mix) -> dict[str, tuple[float, int]]:
         return {}
     sizes = [tokens[k] for k in names]
     w = weights(sizes, exponent(sizes, mix))
-    total = least_budget(sizes, w) if mix.budget is None else mix.budget
+    total = mix.extra * least_budget(sizes, w) if mix.budget is None else mix.budget
     return {k: (x, round(x * total)) for k, x in zip(names, w, strict=True)}
 
 
@@ -136,11 +137,11 @@ p AS (SELECT source, n, n / (SELECT sum(n) FROM s) AS share FROM s WHERE n > 0),
 be(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT i + 1, CASE WHEN flat THEN mid ELSE lo END, CASE WHEN flat THEN hi ELSE mid END FROM
   (SELECT i, lo, hi, (lo + hi) / 2 AS mid, (SELECT -sum(x / z * ln(x / z)) FROM (SELECT pow(share, (be.lo + be.hi) / 2) AS x, sum(pow(share, (be.lo + be.hi) / 2)) OVER () AS z FROM p)) > 0.97 * ln((SELECT count(*) FROM p)) AS flat FROM be WHERE i < 60)),
 br(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT i + 1, CASE WHEN flat THEN mid ELSE lo END, CASE WHEN flat THEN hi ELSE mid END FROM
-  (SELECT i, lo, hi, (lo + hi) / 2 AS mid, (SELECT max(pow(share, (br.lo + br.hi) / 2) / share) / min(pow(share, (br.lo + br.hi) / 2) / share) FROM p) > 2.0 AS flat FROM br WHERE i < 60)),
+  (SELECT i, lo, hi, (lo + hi) / 2 AS mid, (SELECT max(pow(share, (br.lo + br.hi) / 2) / share) / min(pow(share, (br.lo + br.hi) / 2) / share) FROM p) * 1.25 > 2.0 AS flat FROM br WHERE i < 60)),
 e AS (SELECT greatest((SELECT hi FROM be WHERE i = 60), (SELECT hi FROM br WHERE i = 60)) AS x),
 w AS (SELECT source, n, pow(share, (SELECT x FROM e)) / (SELECT sum(pow(share, (SELECT x FROM e))) FROM p) AS weight FROM p),
 b AS (SELECT s.source, s.n, coalesce(weight, 0) AS weight, greatest(1, least(4096, ceil(s.n / 16384)))::BIGINT AS blocks,
-  coalesce(round_even(weight * (SELECT max(n / weight) FROM w), 0), 0)::BIGINT AS budget FROM s LEFT JOIN w USING (source)),
+  coalesce(round_even(weight * (1.25 * (SELECT max(n / weight) FROM w)), 0), 0)::BIGINT AS budget FROM s LEFT JOIN w USING (source)),
 ps AS (SELECT source, n, weight, greatest(budget, 1) AS budget, blocks, pass::INT AS pass, CASE WHEN n = 0 THEN 0 WHEN pass < budget // n THEN n ELSE budget % n END AS take
   FROM (SELECT *, unnest(generate_series(0, CASE WHEN n = 0 THEN 0 ELSE ceil(budget / n)::BIGINT - 1 END)) AS pass FROM b)),
 k AS (SELECT d.*, ('0x' || substr(md5('17:' || doc_id || ':' || d.n), 1, 8))::BIGINT AS key, ('0x' || substr(md5('17:' || doc_id || ':' || d.n), 1, 8))::BIGINT % blocks AS block FROM d JOIN b USING (source)),
