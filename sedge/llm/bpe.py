@@ -162,10 +162,22 @@ class SuffixAutomaton:
         return clone
 
 
+def parts_at_word_ends(path: str) -> bool:
+    """Whether a tokenizer's file has the form that stretches rely on: BPE with END, NFC, white space as one and lower case, and letters parted from symbols."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = [(x or {}).get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    split = [x["pattern"]["Regex"] for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split" and "Regex" in x["pattern"]]
+    model = spec["model"]
+    return model.get("type") == "BPE" and model.get("end_of_word_suffix") == END and steps == ["NFC", "Replace", "Lowercase"] and len(split) == 1 and r"[\p{L}]+" in split[0]
+
+
 class Bpe:
     """A tokenizer file with BPE whose words end in END, its normaliser NFC, white space and lower case."""
 
     def __init__(self, path: str):
+        if not parts_at_word_ends(path):
+            raise ValueError(f"{path} isn't a lower-case BPE whose words end in {END}")
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -350,6 +362,6 @@ def bpe_decode(ids: Column | str, path: str) -> Column:
 
 
 def encoded(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """df with columns ids and decoded in place of text, other columns kept."""
-    small_batches(df.sparkSession, 500)
+    """df with columns ids and decoded in place of text and of columns of these names; a null text is empty; other columns and every row are kept."""
+    small_batches(df.sparkSession)
     return df.withColumn("ids", bpe_encode(F.col(text), path)).withColumn("decoded", bpe_decode("ids", path)).drop(text)

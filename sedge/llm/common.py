@@ -25,11 +25,13 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's spark.checkpoint.dir; it goes when the application ends.
 
-    Where the setting is absent (tests on one machine), a local checkpoint folder is set first.
+    Where the setting is absent, a local master gets a folder of its own machine; a cluster must name one.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         base = f"file://{tempfile.mkdtemp(prefix='sedge-')}"
         sc.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/sedge-{name}-{uuid.uuid4().hex}"
@@ -74,10 +76,27 @@ class Scratch:
         free_shuffles(self.spark)
 
 
-def small_batches(spark: SparkSession, rows: int = 500, size: str = "16m") -> None:
-    """Bound what one Arrow batch holds, so that long texts don't add up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+ROWS, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, so that long texts don't add up in a Python worker.
+
+    Plans that are returned run later, so this stays set in the session, the same for all operators of this subpackage.
+    """
+    spark.conf.set(ROWS, 500)
+    spark.conf.set(BYTES, "8m")
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Other batches for what runs in this block alone."""
+    before = spark.conf.get(ROWS)
+    spark.conf.set(ROWS, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(ROWS, before)
 
 
 def trim() -> None:

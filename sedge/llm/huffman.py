@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm.bpe import END, Chunks
-from sedge.llm.common import drop_copies, remove_dir, shared_dir, small_batches, worker_copy
+from sedge.llm.bpe import Chunks, END, parts_at_word_ends
+from sedge.llm.common import batches_of, drop_copies, remove_dir, shared_dir, small_batches, worker_copy
 
 MAX_BITS = 18
 CHECKPOINT = 512
@@ -141,8 +141,21 @@ def chunks(path: str) -> Chunks:
     return worker_copy(("chunks", path), lambda: library_chunks(path))
 
 
-def library_chunks(path: str) -> Chunks:
+class WholeTexts:
+    """Ids of whole texts by the library, for tokenizers of any other form."""
+
+    def __init__(self, path: str):
+        self.tokenizer = tokenizer(path)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, "<u4"), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+
+
+def library_chunks(path: str) -> Chunks | WholeTexts:
     """The library behind the cache of stretches; letter runs go to it many to a text and are parted at word ends."""
+    if not parts_at_word_ends(path):
+        return WholeTexts(path)
     tok = tokenizer(path)
     ends = np.zeros(tok.get_vocab_size(), bool)
     ends[[i for t, i in tok.get_vocab().items() if t.endswith(END)]] = True
@@ -163,7 +176,7 @@ def library_chunks(path: str) -> Chunks:
 
 def tokenized(df: DataFrame, path: str, end: int | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (binary, little-endian unsigned integers of id_width() bytes) of each whole text by the tokenizers library."""
-    small_batches(df.sparkSession, 2000)
+    small_batches(df.sparkSession)
     kind = f"<u{id_width(path, end)}"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +250,7 @@ def write_token_files(tokens: DataFrame, folder: str, width: int = 4, limit: int
             yield block()
 
     schema = "part int, seq int, before long, doc_id array<bigint>, doc_tokens array<bigint>, checkpoints array<bigint>, n_tokens long, payload binary"
-    tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(encode, schema).write.parquet(f"{folder}/blocks")
+    tokens.withColumn("of", F.xxhash64("ids")).repartitionByRange("doc_id", "of").sortWithinPartitions("doc_id", "of", "ids").select("doc_id", "ids").mapInArrow(encode, schema).write.parquet(f"{folder}/blocks")
     # one row for each part of the files
     parts = spark.read.parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").toArrow()
     n = parts["n"].to_numpy().astype(np.int64)
@@ -249,7 +262,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     book = spark.read.parquet(f"{folder}/codebook").orderBy("id").toArrow()
     parts = spark.read.parquet(f"{folder}/parts").toArrow()
     shared = spark.sparkContext.broadcast((book["id"].to_numpy(), book["length"].to_numpy(), dict(zip(parts["part"].to_pylist(), parts["first_token"].to_pylist(), strict=True))))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)  # blocks; each is large
+    small_batches(spark)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_copies()
@@ -278,7 +291,9 @@ def token_files(df: DataFrame, path: str, end: int, folder: str) -> None:
     """Tokenize once into a shared folder, count, write the file set, and drop the tokens."""
     spark = df.sparkSession
     tokens = shared_dir(spark, "tokens")
-    tokenized(df, path, end).write.option("compression", "zstd").parquet(tokens)
+    found = tokenized(df, path, end)
+    with batches_of(spark, 2000):
+        found.write.option("compression", "zstd").parquet(tokens)
     write_token_files(spark.read.parquet(tokens), folder, id_width(path, end))
     remove_dir(spark, tokens)
 

@@ -168,6 +168,7 @@ def redacted_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def with_spans(df: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
+    """df with the spans of its text in a column that replaces any of that name; a null text has none."""
     small_batches(df.sparkSession)
     return df.withColumn(name, pii_spans(F.col(text)))
 

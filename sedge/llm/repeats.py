@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sedge.llm.common import drop_copies, free_shuffles, mixed, saved, small_batches, trim, utf8
+from sedge.llm.common import batches_of, drop_copies, free_shuffles, mixed, saved, small_batches, trim, utf8
 from sedge.llm.suffixes import suffix_array
 
 LENGTH, GRAM = 100, 32
@@ -284,16 +284,16 @@ def compared(pieces: DataFrame) -> DataFrame:
 def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) for every row of df."""
     spark = df.sparkSession
-    small_batches(spark, 1000)
+    small_batches(spark)
     docs, rows = keyed(df, doc_id, text)
     hot = hot_anchors(docs)
-    done = saved(settled(found_runs(docs, hot), hot), "runs")
+    with batches_of(spark, 1000):
+        done = saved(settled(found_runs(docs, hot), hot), "runs")
     free_shuffles(spark)
     pieces = contents(docs, done.where("not flag").select("doc", "start", "n", "h"), hot)
-    small_batches(spark, 20_000)
-    more = saved(compared(pieces), "runs")
+    with batches_of(spark, 20_000):
+        more = saved(compared(pieces), "runs")
     free_shuffles(spark)
-    small_batches(spark, 1000)
     stretches = done.where("flag").select("doc", "start", F.col("n").cast("int").alias("n")).unionByName(more)
     spans = stretches.withColumn("sub", F.floor(F.col("start") / SUB)).groupBy("doc", "sub").agg(F.collect_list(F.struct(F.pmod("start", F.lit(SUB)).alias("start"), "n")).alias("spans"))
 

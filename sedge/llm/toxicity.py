@@ -142,7 +142,7 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def scored(df: DataFrame, model: ToxicityModel, text: str = "text", limit: float = 0.5) -> DataFrame:
-    """df with score, predicted (1 from limit on), offending: the sentences of that score or more, as start, end (bytes), score; without the text."""
+    """df with score, predicted (1 from limit on), offending: the sentences of that score or more, as start, end (bytes), score; without the text. Columns of these names are replaced."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)  # of 2 ** BITS weights
     small_batches(spark)
@@ -159,5 +159,6 @@ def scored(df: DataFrame, model: ToxicityModel, text: str = "text", limit: float
             yield pa.StructArray.from_arrays([pa.array(total), pa.ListArray.from_arrays(pa.array(offsets), spans)], ["score", "offending"])
             trim()
 
-    out = df.withColumn("_s", score(F.col(text))).drop(text)
-    return out.withColumn("score", F.col("_s.score")).withColumn("predicted", (F.col("score") >= limit).cast("int")).withColumn("offending", F.col("_s.offending")).drop("_s")
+    s = "_sedge_scores"
+    out = df.withColumn(s, score(F.col(text))).drop(text, "score", "predicted", "offending")
+    return out.withColumns({"score": F.col(f"{s}.score"), "predicted": (F.col(f"{s}.score") >= limit).cast("int"), "offending": F.col(f"{s}.offending")}).drop(s)

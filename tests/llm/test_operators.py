@@ -177,6 +177,29 @@ def test_frequent_lines_reject(spark):
     assert not any(out[i] for i in range(40)) and all(out[100 + i] for i in range(40)) and out[200] and all(out[300 + i] for i in range(50))
 
 
+def test_frequent_lines_are_removed(spark, docs, none):
+    boiler = "Sign IN to read  1 more"
+    rows = [(i, f"{boiler.replace('1', str(i % 10))}\n\nown {'x' * (i + 1)}\nlast", "h") for i in range(12)] + [(50, boiler, "h"), (51, None, "h"), (52, boiler + "\nx", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r["doc_id"]: r["text"] for r in lines.without_frequent_lines(df).collect()}
+    assert out == {i: f"\nown {'x' * (i + 1)}" for i in range(12)} | {50: "", 51: None, 52: boiler + "\nx"}
+    quality = {r["doc_id"]: r for r in lines.line_quality(df).collect()}
+    assert all(r["text"] == out[d] and r["n_left_chars"] == len(out[d] or "") for d, r in quality.items()) and quality[3]["n_lost_words"] == 7 and quality[52]["n_lost_words"] == 0
+    assert lines.without_frequent_lines(docs).count() == docs.count() and lines.without_frequent_lines(docs).columns == [c for c in docs.columns if c not in ("_doc", "lost")]
+    assert lines.without_frequent_lines(none).count() == 0
+
+
+def test_unknown_languages_are_rejected(spark):
+    r = random.Random(3)
+    made = {x: ["".join(r.choices(letters, k=r.randint(2, 8))) for _ in range(200)] for x, letters in (("a", "aeiouklmn"), ("b", "aeiourstd"), ("c", "bcdfghjpqvwxz"))}
+    text = lambda x, n: " ".join(r.choices(made[x], k=n))
+    rows = [(i, text(x, 40 + 5 * (i % 20)), x) for i, x in enumerate("ab" * 60)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    test = spark.createDataFrame([(i, text(x, 80), x) for i, x in enumerate("abc" * 20)] + [(99, text("c", 5), "short")], "doc_id long, text string, lang string")
+    out = langid.predicted(test, model).collect()
+    assert all(x["rejected"] == (x["lang"] == "c") for x in out) and all(x["lang_pred"] == x["lang"] for x in out if x["lang"] in "ab")
+
+
 def test_language(spark, docs, none):
     en, fr = "the house and the garden with many other things that were there", "la maison et le jardin avec beaucoup des autres choses qui sont là"
     rows = [(i, (en if i % 2 else fr) + " " + str(i), "en" if i % 2 else "fr") for i in range(60)]
