@@ -36,6 +36,8 @@ from sedge.llm.components import components
 TREES, COORDINATES = 16, 64
 #: A region of at most REGION members is compared whole at once. Windows of larger ones have 2 x STEP members and HUBS hubs, in the order of FURTHER more coordinates.
 REGION, STEP, HUBS, FURTHER = 128, 48, 4, 12
+#: Trees whose large regions are sorted; those of the others are compared with the rest, whole.
+ORDERS = 8
 #: Members and shingles of a block, about; a tile has two.
 BLOCK, WEIGHT = 512, 1 << 19
 #: The band of a block whose members are of any size.
@@ -133,12 +135,14 @@ def regions(reps: DataFrame, depth: int, scratch: Scratch) -> tuple[DataFrame, D
 
 
 def neighbours(large: DataFrame, reps: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
-    """tree, region, rep: overlapping windows of each large region's members in the order of their further coordinates, with the region's hubs in each.
+    """tree, region, rep: overlapping windows of each large region's members in the order of their further coordinates, with the region's hubs in each; of the first ORDERS trees.
 
     Who shares the longest prefix stands next to each other, so the depth of a window is as great as the place is dense.
     """
     place = [F.pmod(4 * F.col("tree") + depth + i, F.lit(COORDINATES)) for i in range(FURTHER)]
-    rows = scratch.save(large.join(reps.select("rep", "sig"), "rep").select("tree", "key", "rep", F.array(*[F.get("sig", p) for p in place]).alias("order")))
+    scored = scratch.save(large.groupBy("rep").agg(F.count("*").alias("score")).join(reps.select("rep", "sig"), "rep"))
+    rows = large.where(F.col("tree") < ORDERS).join(scored, "rep").select("tree", "key", "rep", "score", F.array(*[F.get("sig", p) for p in place]).alias("order"))
+    rows = scratch.save(rows)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, run, at = None, 0, 0  # the region being walked, its name in this part, and the rows passed
@@ -164,8 +168,7 @@ def neighbours(large: DataFrame, reps: DataFrame, depth: int, scratch: Scratch)
     ordered = rows.repartitionByRange("tree", "key", "order", "rep").sortWithinPartitions("tree", "key", "order", "rep")
     windows = scratch.save(ordered.select("tree", "key", "rep").mapInArrow(walk, "tree int, key long, region long, rep long"))
     # hubs: in each of HUBS shares of a large region, the member of the most large regions, such as the centre of a star of edited copies
-    score = large.groupBy("rep").agg(F.count("*").alias("score"))
-    ranked = large.join(score, "rep").withColumn("share", F.pmod(F.xxhash64("rep", "tree"), F.lit(HUBS)))
+    ranked = rows.withColumn("share", F.pmod(F.xxhash64("rep", "tree"), F.lit(HUBS)))
     hubs = ranked.groupBy("tree", "key", "share").agg(F.max(F.struct("score", (-F.col("rep")).alias("less"))).alias("m")).select("tree", "key", (-F.col("m.less")).alias("rep"))
     spread = windows.select("tree", "key", "region").distinct().join(hubs, ["tree", "key"])
     return windows.unionByName(spread.select("tree", "key", "region", "rep")).select("tree", "region", "rep").distinct()
@@ -205,9 +208,9 @@ def tiles(large: DataFrame, reps: DataFrame, found: DataFrame, similarity: float
     # sets of a true link lie in one band of sizes or in neighbouring ones
     width = 1.001 * max(-math.log(max(similarity, 0.01)), 1e-3)
     homes = large.groupBy("rep").agg(F.max(F.struct("n", "tree", "key")).alias("h")).select("rep", F.xxhash64("h.tree", "h.key").alias("home"))
-    rows = large.join(reps.select("rep", "n_shingles"), "rep").join(homes, "rep").join(found, "rep", "left")
-    rows = rows.select(F.xxhash64("tree", "key").alias("scope"), "home", "rep", "n_shingles", F.coalesce("component", "rep").alias("kin"), F.floor(F.log("n_shingles") / width).alias("band"))
-    rows = scratch.save(rows)
+    members = homes.join(reps.select("rep", "n_shingles"), "rep").join(found, "rep", "left")
+    members = members.select("rep", "home", "n_shingles", F.coalesce("component", "rep").alias("kin"), F.floor(F.log("n_shingles") / width).alias("band"))
+    rows = scratch.save(large.select(F.xxhash64("tree", "key").alias("scope"), "rep").join(members, "rep"))
     several = rows.groupBy("scope").agg(F.min("kin").alias("least"), F.max("kin").alias("most")).where("least != most").select("scope")
     rows = scratch.save(spread_join(rows, several, ["scope"]))
     near = meetings(rows, scratch).where("merged").select("ha", "hb", "ga", "gb").distinct()
