@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from sedge.functions import text as tx
 from sedge.operators import bm25, chunkers, clean, display, embed, evidence, metrics, qa, sections, vectors
 from sedge.operators.lines import exploded
-from sedge.oracles import SQL
+from sedge.marked import CONNECTORS, marked
+from sedge.marked import SQL as MARKED_SQL
+from sedge.oracles import SQL as PLAIN_SQL
 from sedge.plans.index import table_digest
 from sedge.sources import html
 
@@ -37,12 +39,12 @@ def search(distance: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def label_ranks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The 30 nearest of each query but itself, and gold: vectors of its label, each label one evidence, gain by parity of the id."""
+    """The 30 nearest of each query but itself, and gold: vectors of its label, seven evidences a label by id modulo 7, gain by parity of the id."""
     points = table(spark, sf_dir, "embeddings")
     ranks = vectors.top_k(vector_queries(points), points, 30, exclude_self=True).withColumnRenamed("vec_id", "chunk_id")
     asked = points.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "label")
     gold = points.select(F.col("vec_id").alias("chunk_id"), "label").join(F.broadcast(asked), "label").where("chunk_id != query_id")  # the query set
-    return ranks, gold.select("query_id", F.col("label").alias("evidence_id"), "chunk_id", F.when(F.col("chunk_id") % 2 == 0, 1.0).otherwise(0.5).alias("gain"))
+    return ranks, gold.select("query_id", (F.col("label") * 7 + F.col("chunk_id") % 7).alias("evidence_id"), "chunk_id", F.when(F.col("chunk_id") % 2 == 0, 1.0).otherwise(0.5).alias("gain"))
 
 
 def vector_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +134,9 @@ def gold_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     terms = bm25.term_stats(bm25.postings(docs), bm25.corpus_stats(docs))
-    return terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    of = F.least("df", F.lit(64)).cast("long")
+    figures = [F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"), F.sum(F.length("term")).alias("n_chars"), F.min("term").alias("first_term")]
+    return terms.groupBy(of.alias("df_up_to_64")).agg(*figures, F.round(F.min("idf"), 6).alias("least_idf"), F.round(F.max("idf"), 6).alias("most_idf"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +170,36 @@ def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("line") == "").alias("n_blank"))
 
 
+def cleaned_markup(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = marked(table(spark, sf_dir, "documents"))
+    return docs, *clean.clean_lines(docs, config=clean.CleanConfig(connectors=CONNECTORS))
+
+
+def clean_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cleaning rules over documents with markup."""
+    docs, lines, _ = cleaned_markup(spark, sf_dir)
+    text, _ = clean.clean(docs, config=clean.CleanConfig(connectors=CONNECTORS))
+    n = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    return text.join(n, "doc_id", "left").select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def clean_markup_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaned_markup(spark, sf_dir)[2].select("doc_id", "type", "line", "detail")
+
+
+def markup_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections and heading paths of documents with markup."""
+    out = sections.sections(marked(table(spark, sf_dir, "documents")))
+    path = F.array_join(F.filter(F.array(*[F.col(f"h{n}") for n in range(1, 7)]), lambda h: h.isNotNull()), " > ")
+    return out.select("doc_id", "section_no", F.length("content").alias("n_chars"), F.md5(F.col("content").cast("binary")).alias("content_md5"), F.nullif(path, F.lit("")).alias("path"))
+
+
+def markup_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables with their captions in documents with markup."""
+    out = sections.elements(marked(table(spark, sf_dir, "documents"))).where("is_table")
+    return out.select("doc_id", F.col("table_no").cast("int").alias("table_no"), F.size(F.split("content", "\n")).alias("n_lines"), "caption", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
 def dedupe_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered sources among the lexical hits of each benchmark item; the language is the section."""
     docs = table(spark, sf_dir, "documents")
@@ -248,9 +282,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rank_recall_precision_hit": rank_recall_precision_hit, "rank_mrr": rank_mrr, "rank_ndcg": rank_ndcg, "rank_group_slices": rank_group_slices, "rank_wide": rank_wide, "ood_auroc": ood_auroc, "experiment_comparison": experiment_comparison,
     "evidence_tokens": evidence_tokens, "evidence_match": evidence_match, "evidence_report": evidence_report, "gold_relevance": gold_relevance,
     "bm25_index_stats": bm25_index_stats, "bm25_topk": bm25_topk, "hybrid_rrf": hybrid_rrf, "point_ids": point_ids, "dedupe_sources": dedupe_sources, "upsert_latest": upsert_latest,
-    "clean_documents": clean_documents, "clean_report": clean_report, "clean_lines": clean_lines, "token_length_stats": token_length_stats, "table_sha": table_sha,
+    "clean_documents": clean_documents, "clean_report": clean_report, "clean_lines": clean_lines, "clean_markup": clean_markup, "clean_markup_warnings": clean_markup_warnings, "markup_sections": markup_sections, "markup_tables": markup_tables, "token_length_stats": token_length_stats, "table_sha": table_sha,
     "page_markdown": page_markdown, "page_sections": page_sections, "page_heading_paths": page_heading_paths, "hier_chunks": hier_chunks, "hier_chunk_stats": hier_chunk_stats, "document_chunks": document_chunks,
     "semantic_chunks": semantic_chunks, "session_history": session_history,
 }
 
+SQL: dict[str, str] = PLAIN_SQL | MARKED_SQL
+
 __all__ = ["QUERIES", "SQL"]

@@ -16,15 +16,17 @@ SELECT query_id, rank::INT AS rank, vec_id, round(score, 6) + 0.0 AS score FROM
 
 RANKS = f"""WITH {PAIRS}, s AS (SELECT query_id, vec_id AS chunk_id, list_cosine_similarity(q.v, p.v) AS score FROM q, p WHERE query_id <> vec_id),
 ranks AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC) AS rank FROM s QUALIFY rank <= 30),
-gold AS (SELECT query_id, p.vec_id AS chunk_id, CASE WHEN p.vec_id % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS gain FROM q JOIN p USING (label) WHERE query_id <> p.vec_id),
+gold AS (SELECT query_id, p.vec_id AS chunk_id, CASE WHEN p.vec_id % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS gain, p.vec_id % 7 AS ev FROM q JOIN p USING (label) WHERE query_id <> p.vec_id),
 ks AS (SELECT unnest([3, 5, 10, 15, 20, 30])::INT AS k),
 qs AS (SELECT DISTINCT query_id FROM ranks),
-hit AS (SELECT query_id, k, count(*) AS hits, sum(gain / log2(rank + 1)) AS dcg FROM ranks JOIN gold USING (query_id, chunk_id), ks WHERE rank <= k GROUP BY ALL),
+tot AS (SELECT query_id, count(DISTINCT ev) AS tot FROM gold GROUP BY query_id),
+hit AS (SELECT query_id, k, count(*) AS hits, count(DISTINCT ev) AS ev, sum(gain / log2(rank + 1)) AS dcg FROM ranks JOIN gold USING (query_id, chunk_id), ks WHERE rank <= k GROUP BY ALL),
 seen AS (SELECT query_id, k, count(*) AS seen FROM ranks, ks WHERE rank <= k GROUP BY ALL),
 best AS (SELECT query_id, k, sum(gain / log2(n + 1)) AS idcg FROM (SELECT query_id, gain, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, chunk_id) AS n FROM gold), ks WHERE n <= k GROUP BY ALL),
-m AS (SELECT query_id, k, coalesce(hits, 0) AS hits, seen, coalesce(dcg, 0) AS dcg, idcg FROM seen LEFT JOIN hit USING (query_id, k) LEFT JOIN best USING (query_id, k)),
+m AS (SELECT query_id, k, coalesce(hits, 0) AS hits, coalesce(ev, 0) / tot AS rec, seen, coalesce(dcg, 0) AS dcg, idcg FROM seen LEFT JOIN hit USING (query_id, k) LEFT JOIN best USING (query_id, k) LEFT JOIN tot USING (query_id)),
 f AS (SELECT query_id, min(n) AS first_rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id DESC) AS n FROM s) JOIN gold USING (query_id, chunk_id) GROUP BY query_id)"""
-FOUND = "CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END::DOUBLE"
+#: Of the evidences of a query (its label's vectors by id modulo 7) those found; any; all.
+RECALL, HIT, COMPLETE = "rec", "(rec > 0)::INT::DOUBLE", "(rec = 1)::INT::DOUBLE"
 SIMILAR = "o AS (SELECT q.query_id, round(max(list_cosine_similarity(q.v, p.v)), 9) AS score, any_value(q.label) >= 8 AS is_ood FROM q, p WHERE query_id <> vec_id AND p.label < 8 GROUP BY q.query_id)"
 AUROC = "(SELECT avg(CASE WHEN a.score < b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END) FROM o a, o b WHERE a.is_ood AND NOT b.is_ood)"
 
@@ -60,27 +62,27 @@ SQL: dict[str, str] = {
     "vector_topk_euclidean": topk("euclidean"),
     "vector_validate": """SELECT count(*) AS n, count(*) FILTER (embedding IS NULL) AS n_null, count(*) FILTER (len(embedding) <> (SELECT max(len(embedding)) FROM embeddings)) AS n_wrong_dim,
 count(*) FILTER (len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0) AS n_not_finite, max(len(embedding))::INT AS dim, count(*) - count(DISTINCT vec_id) AS n_duplicate_ids FROM embeddings""",
-    "rank_recall_precision_hit": f"{RANKS} SELECT query_id, k, {FOUND} AS recall, {FOUND} AS hit, {FOUND} AS complete, round(hits / seen, 6) AS precision FROM m",
+    "rank_recall_precision_hit": f"{RANKS} SELECT query_id, k, round({RECALL}, 6) AS recall, {HIT} AS hit, {COMPLETE} AS complete, round(hits / seen, 6) AS precision FROM m",
     "rank_mrr": f"{RANKS} SELECT query_id, first_rank, round(1 / first_rank, 6) AS rr FROM f",
     "rank_ndcg": f"{RANKS} SELECT query_id, k, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 6) AS ndcg FROM m",
-    "rank_group_slices": f"""{RANKS}, x AS (SELECT m.*, hits / seen AS precision, {FOUND} AS recall, label FROM m JOIN (SELECT query_id, label FROM q) USING (query_id)),
+    "rank_group_slices": f"""{RANKS}, x AS (SELECT m.*, hits / seen AS precision, {RECALL} AS recall, {HIT} AS hit, {COMPLETE} AS complete, label FROM m JOIN (SELECT query_id, label FROM q) USING (query_id)),
 y AS (SELECT 'overall' AS "group", * FROM x UNION ALL SELECT 'label:' || label, * FROM x UNION ALL SELECT 'even', * FROM x WHERE query_id % 200 = 0)
-SELECT "group", k, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(recall), 6) AS hit, round(avg(recall), 6) AS complete, round(avg(precision), 6) AS precision FROM y GROUP BY "group", k""",
-    "rank_wide": f"""{RANKS} SELECT query_id, {", ".join(f"max(CASE WHEN k = {k} THEN {FOUND} END) AS recall_at_{k}, round(max(CASE WHEN k = {k} THEN hits / seen END), 6) AS precision_at_{k}" for k in (3, 5, 10, 15, 20, 30))} FROM m GROUP BY query_id""",
+SELECT "group", k, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit, round(avg(complete), 6) AS complete, round(avg(precision), 6) AS precision FROM y GROUP BY "group", k""",
+    "rank_wide": f"""{RANKS} SELECT query_id, {", ".join(f"round(max(CASE WHEN k = {k} THEN {RECALL} END), 6) AS recall_at_{k}, round(max(CASE WHEN k = {k} THEN hits / seen END), 6) AS precision_at_{k}" for k in (3, 5, 10, 15, 20, 30))} FROM m GROUP BY query_id""",
     "ood_auroc": f"WITH {PAIRS}, {SIMILAR} SELECT round({AUROC}, 6) AS auroc",
     "experiment_comparison": f"""{RANKS}, {SIMILAR},
 rr AS (SELECT query_id, min(rank) AS r FROM ranks JOIN gold USING (query_id, chunk_id) GROUP BY query_id),
-a AS (SELECT avg({FOUND}) AS rec, avg(hits / seen) AS prec, avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END) AS nd FROM m WHERE k = 10),
+a AS (SELECT avg({RECALL}) AS rec, avg({HIT}) AS hit, avg({COMPLETE}) AS com, avg(hits / seen) AS prec, avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END) AS nd FROM m WHERE k = 10),
 b AS (SELECT avg(coalesce(1 / r, 0)) AS mrr FROM qs LEFT JOIN rr USING (query_id)),
 t AS (SELECT avg(score) FILTER (NOT is_ood) AS i, avg(score) FILTER (is_ood) AS u FROM o)
-SELECT unnest(['cosine', 'dot']) AS model, round(rec, 6) AS recall_at_10, round(rec, 6) AS hit_at_10, round(rec, 6) AS complete_at_10, round(prec, 6) AS precision_at_10, round(nd, 6) AS ndcg_at_10, round(mrr, 6) AS mrr,
+SELECT unnest(['cosine', 'dot']) AS model, round(rec, 6) AS recall_at_10, round(hit, 6) AS hit_at_10, round(com, 6) AS complete_at_10, round(prec, 6) AS precision_at_10, round(nd, 6) AS ndcg_at_10, round(mrr, 6) AS mrr,
 round(i, 6) AS top1_id, round(u, 6) AS top1_ood, round({AUROC}, 6) AS auroc, round(i - u, 6) AS margin FROM a, b, t""",
     "evidence_tokens": f"SELECT doc_id, len(t)::INT AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {TOKENS} AS t FROM documents)",
     "evidence_match": f"{MATCHES} SELECT evidence_id, chunk_id, matched, round(coverage, 6) AS coverage, is_relevant FROM m",
     "evidence_report": f"""{MATCHES}, k AS (SELECT e.evidence_id, count(m.chunk_id) AS n FROM e LEFT JOIN m ON m.evidence_id = e.evidence_id AND m.is_relevant GROUP BY e.evidence_id)
 SELECT count(*) AS total, count(*) FILTER (n = 0) AS unmapped, round(avg(n) FILTER (n > 0), 6) AS avg_chunks, min(n) FILTER (n > 0) AS min_chunks, max(n) FILTER (n > 0) AS max_chunks FROM k""",
     "gold_relevance": f"{MATCHES} SELECT evidence_id // 5 AS question_id, chunk_id, round(max(coverage), 6) AS gain FROM m WHERE is_relevant GROUP BY ALL",
-    "bm25_index_stats": f"{BM25} SELECT term, df, round(idf, 6) AS idf FROM tm",
+    "bm25_index_stats": f"{BM25} SELECT least(df, 64)::BIGINT AS df_up_to_64, count(*) AS n_terms, sum(df)::BIGINT AS n_postings, sum(length(term))::BIGINT AS n_chars, min(term) AS first_term, round(min(idf), 6) AS least_idf, round(max(idf), 6) AS most_idf FROM tm GROUP BY ALL",
     "bm25_topk": f"{BM25} SELECT query_id, rank::INT AS rank, doc_id, round(score, 4) AS score FROM top",
     "hybrid_rrf": f"""{BM25}, lg AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY length(text) DESC, doc_id) AS rank FROM top JOIN documents USING (doc_id)),
 a AS (SELECT query_id, doc_id, rank FROM top UNION ALL SELECT * FROM lg) SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM a GROUP BY ALL""",
