@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -81,6 +82,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
+def first_tokenizer(*named: tuple[str, Callable[[], Callable[[Column], Column]]]) -> Callable[[Column], Column]:
+    """The first word tokenizer of a chain whose maker can import what it needs, else words(); its tokenizer_name is recorded with an index."""
+    for name, make in named:
+        try:
+            tokens = make()
+        except ImportError:
+            continue
+        tokens.tokenizer_name = name
+        return tokens
+    return words
+
+
+words.tokenizer_name = "whitespace"
+
+
 def token_count(text: Column) -> Column:
     """The default, additive token counter: words and single symbols. Recorded by this name in manifests."""
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"))

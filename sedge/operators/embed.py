@@ -38,10 +38,16 @@ def embedder_config(model: str) -> EmbedderConfig:
     return REGISTRY.get(model, EmbedderConfig(model))
 
 
+# Fixed value: what that family of models puts before a question.
+QWEN3_QUERY = "Instruct: Given a web search query, retrieve relevant passages that answer the query\nQuery:"
+
+
 def prefixed(text: Column, model: str, is_query: bool) -> Column:
-    """What a model wants before its texts: e5 names take query and passage marks."""
+    """What a model wants before its texts: e5 names take query and passage marks, Qwen3 embeddings a prompt before queries."""
     if "e5" in model.lower():
         return F.concat(F.lit("query: " if is_query else "passage: "), text)
+    if "qwen3-embedding" in model.lower() and is_query:
+        return F.concat(F.lit(QWEN3_QUERY), text)
     return text
 
 

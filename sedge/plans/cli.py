@@ -53,7 +53,9 @@ def chunk(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def build(spark: SparkSession, a: argparse.Namespace) -> None:
-    chunks = spark.read.parquet(f"{a.chunks_dir}/chunks_{a.chunker}")
+    if a.model != "hashing":
+        raise ValueError(f"the command can embed by 'hashing' only; pass an embedder of {a.model} to build_index()")
+    chunks = index.chunk_table(spark, f"{a.chunks_dir}/chunks_{a.chunker}")
     config = StoreConfig(a.collection, a.expected_dim, a.distance, a.mode, a.local_path)
     index.build_index(spark, chunks, embed.hashing_embedder(a.expected_dim), config, a.local_path, a.model, a.chunker)
 
@@ -62,12 +64,17 @@ def evaluation(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = evaluate.questions(spark, a.questions, a.split)
     make = embed.hashing_embedder(a.expected_dim)
     queries = rows.select(F.col("id").alias("query_id"), make(F.col("question")).alias("embedding"))
-    runs = {}
+    runs, by_question, by_group = {}, None, None
     for kind in ("hierarchical", "semantic"):
-        chunks = spark.read.parquet(f"{a.chunks_dir}/chunks_{kind}")
+        chunks = index.chunk_table(spark, f"{a.chunks_dir}/chunks_{kind}")
         gold, report = evaluate.gold_of(rows, chunks, strict=False)
         index.write_json(report, f"{a.output_dir}/mapping_{kind}")
-        runs[kind, "hashing"] = evaluate.experiment(rows, queries, chunks.select("chunk_id", make(F.col("text")).alias("embedding")), gold)
+        index.write_json(evaluate.unmapped(rows, chunks, gold), f"{a.output_dir}/unmapped_{kind}")
+        found, top = runs[kind, "hashing"] = evaluate.experiment(rows, queries, chunks.select("chunk_id", make(F.col("text")).alias("embedding")), gold)
+        q, g = evaluate.per_question(rows, found, top, chunks, kind, "hashing", a.split), evaluate.per_group(rows, found, kind, "hashing", a.split)
+        by_question, by_group = (q, g) if by_question is None else (by_question.unionByName(q), by_group.unionByName(g))
+    index.write_csv(by_question, f"{a.output_dir}/per_question", index.PER_QUESTION)
+    index.write_csv(by_group, f"{a.output_dir}/per_group", index.PER_GROUP)
     index.write_csv(evaluate.cube(runs), f"{a.output_dir}/comparison", index.COMPARISON)
 
 

@@ -47,18 +47,44 @@ def gold_of(rows: DataFrame, chunks: DataFrame, strict: bool = True) -> tuple[Da
 
 
 def experiment(rows: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame, gold: DataFrame, ks: tuple[int, ...] = metrics.KS) -> tuple[DataFrame, DataFrame]:
-    """Per-question metrics (query_id, k, ...) of answerable questions, and each question's top-1 similarity (query_id, score, is_ood)."""
+    """Per-question metrics (query_id, k, ...) of answerable questions, and each question's best chunk (query_id, score, is_ood, chunk_id)."""
     ranks = vectors.ranked(vectors.all_scores(query_vectors, chunk_vectors, point="chunk_id"), "chunk_id")
-    top1 = ranks.where("rank = 1").join(rows.select(F.col("id").alias("query_id"), (~F.col("answerable")).alias("is_ood")), "query_id").select("query_id", "score", "is_ood")
+    top1 = ranks.where("rank = 1").join(rows.select(F.col("id").alias("query_id"), (~F.col("answerable")).alias("is_ood")), "query_id").select("query_id", "score", "is_ood", "chunk_id")
     asked = ranks.join(rows.where("answerable").select(F.col("id").alias("query_id")), "query_id", "left_semi")
     return metrics.question_metrics(asked, gold, ks), top1
 
 
+def unmapped(rows: DataFrame, chunks: DataFrame, gold: DataFrame) -> DataFrame:
+    """question_id, evidence_id, source of evidence without a relevant chunk, and its best candidate (chunk_id, matched, coverage; null if its source has no chunk)."""
+    left = gold_evidence(rows).join(gold.select(F.col("query_id").alias("question_id"), "evidence_id").distinct(), ["question_id", "evidence_id"], "left_anti")
+    own = chunks.withColumn("chunk_pos", F.col("chunk_index"))
+    best = evidence.best_candidates(left.select("evidence_id", "source", "text").distinct(), own, "source")
+    return left.select("question_id", "evidence_id", "source").join(best, "evidence_id", "left")
+
+
+def per_question(rows: DataFrame, found: DataFrame, top1: DataFrame, chunks: DataFrame, chunker: str, model: str, split: str) -> DataFrame:
+    """One row a question: its fields, its best chunk, and each metric at each k; unanswerable ones have no metrics."""
+    names = ("recall", "precision", "hit", "complete", "ndcg")
+    wide = found.groupBy("query_id").agg(F.first("rr").alias("mrr"), *[F.max(F.when(F.col("k") == k, F.col(m))).alias(f"{m}@{k}") for k in metrics.KS for m in names])
+    best = top1.join(chunks.select("chunk_id", F.col("source").alias("top_chunk_source")), "chunk_id", "left").select("query_id", F.col("score").alias("top1_similarity"), F.col("chunk_id").alias("top_chunk_id"), "top_chunk_source")
+    tags = {"question_id": F.col("id"), "chunker": F.lit(chunker), "embedding_model": F.lit(model), "eval_split": F.lit(split)}
+    return rows.withColumns(tags).drop("gold_evidence").join(best, F.col("id") == best["query_id"], "left").drop("query_id").join(wide, F.col("id") == wide["query_id"], "left").drop("query_id")
+
+
+def per_group(rows: DataFrame, found: DataFrame, chunker: str, model: str, split: str) -> DataFrame:
+    """Means of the metrics over all questions and over each slice, by k."""
+    of = rows.select(F.col("id").alias("query_id"), metrics.question_slices().alias("slices"))
+    means = metrics.group_means(found.join(of, "query_id"), F.col("slices"))
+    kind, value = metrics.parted(F.col("group"))
+    named = {"recall": "recall@k", "precision": "precision@k", "hit": "hit@k", "complete": "evidence_complete@k", "ndcg": "ndcg@k", "rr": "mrr", "n": "n_questions"}
+    return means.select(F.lit(chunker).alias("chunker"), F.lit(model).alias("embedding_model"), F.lit(split).alias("eval_split"), kind.alias("group_type"), value.alias("group_value"), "k", *[F.col(a).alias(b) for a, b in named.items()])
+
+
 def cube(experiments: dict[tuple[str, str], tuple[DataFrame, DataFrame]]) -> DataFrame:
     """One comparison row for each (chunker, model), from one long table."""
     rows = top = None
     for (chunker, model), (m, t) in experiments.items():
         tag = {"chunker": F.lit(chunker), "model": F.lit(model)}
-        m, t = m.withColumns(tag), t.withColumns(tag)
+        m, t = m.withColumns(tag), t.drop("chunk_id").withColumns(tag)
         rows, top = (m, t) if rows is None else (rows.unionByName(m), top.unionByName(t))
     return metrics.comparison(rows, top, ["chunker", "model"])

@@ -70,6 +70,19 @@ def only_new(files: DataFrame, done: DataFrame, key: str = "source") -> DataFram
     return files.join(whole, key, "left_anti")
 
 
+def converters(make: Callable[[bool, tuple[str, ...]], Callable[[bytes], tuple[str, int]]]) -> Callable[[bytes, bool, list[str]], tuple[str, int]]:
+    """A parser for parsed() that makes one converter for each setting of force_ocr and languages in each Python worker, and keeps it."""
+    made: dict = {}
+
+    def parse(content: bytes, force: bool, languages: list[str]) -> tuple[str, int]:
+        key = (force, tuple(languages))
+        if key not in made:
+            made[key] = make(*key)
+        return made[key](content)
+
+    return parse
+
+
 def parsed(files: DataFrame, parse: Callable[[bytes, bool, list[str]], tuple[str, int]], languages: tuple[str, ...] = ("vi", "en")) -> tuple[DataFrame, DataFrame]:
     """Run any parser (bytes, force_ocr, languages) -> (markdown, pages) on each file; good documents, and (source, error) of the rest."""
     wanted = list(dict.fromkeys(languages))

@@ -183,6 +183,26 @@ def test_plans(spark, tmp_path):
     cli.main(["evaluate", "--chunks-dir", f"{base}/out", "--questions", f"{base}/q.json", "--output-dir", f"{base}/eval", "--expected-dim", "16"])
     rows = spark.read.option("header", True).csv(f"{base}/eval/comparison").collect()
     assert {r["chunker"] for r in rows} == {"hierarchical", "semantic"} and all(float(r["recall_at_10"]) == 1 for r in rows)
+    by_question = spark.read.option("header", True).csv(f"{base}/eval/per_question")
+    assert by_question.columns == list(index.PER_QUESTION) and by_question.count() == 4
+    q1 = by_question.where("question_id = 'q1' and chunker = 'semantic'").first()
+    assert float(q1["recall@3"]) == 1 and q1["top_chunk_source"] and by_question.where("question_id = 'q2'").first()["recall@3"] is None
+    by_group = spark.read.option("header", True).csv(f"{base}/eval/per_group")
+    assert by_group.columns == list(index.PER_GROUP) and {(r["group_type"], r["group_value"]) for r in by_group.collect()} == {("overall", "overall"), ("doc", "A"), ("group", "standard")}
+    lost = QUESTION | {"gold_evidence": [{"evidence_id": "e9", "source_file": "a.md", "evidence_text": "alpha beta unheard words that no chunk has"}]}
+    (tmp_path / "lost.json").write_text(json.dumps([lost, ood]))
+    cli.main(["evaluate", "--chunks-dir", f"{base}/out", "--questions", f"{base}/lost.json", "--output-dir", f"{base}/lost", "--expected-dim", "16"])
+    r = json.loads(spark.read.text(f"{base}/lost/unmapped_semantic").first()[0])
+    assert r["evidence_id"] == "e9" and r["matched"] == 2 and r["chunk_id"]
+    assert manifest["bm25"]["tokenizer"] == "whitespace"
+    with pytest.raises(ValueError, match="embed by"):
+        cli.main(["build", "--chunks-dir", f"{base}/out", "--local-path", f"{base}/index", "--model", "BAAI/bge-m3"])
+    with pytest.raises(ValueError, match="chunk_index"):
+        index.chunk_table(spark, f"{base}/out/documents")
+    store = vectors.VectorStore(spark, vectors.StoreConfig("chunks", 16, path=f"{base}/index"))
+    assert store.exists() and store.load().points.count() == 2
+    with pytest.raises(ValueError, match="holds"):
+        vectors.VectorStore(spark, vectors.StoreConfig("chunks", 8, path=f"{base}/index")).load()
     with pytest.raises(ValueError):
         evaluate.questions(spark, f"{base}/q.json", "none")
     assert index.table_digest(docs, "source").first() == index.table_digest(docs.repartition(3), "source").first()
