@@ -96,10 +96,10 @@ def frequent_lines(lines: DataFrame, texts: DataFrame, least: int, share: float)
 
 
 def line_hashes(text: Column) -> Column:
-    """The hash and the words of each line with a word, in order."""
+    """The hash, the words and the code points (with its end) of each line with a word, in order."""
     return F.transform(
         F.filter(F.split(text, "\n"), has_word),
-        lambda x: let(normal_line(x), lambda y: F.struct(F.xxhash64(y).alias("line"), (F.length(y) - F.length(F.translate(y, " ", "")) + 1).alias("words"))),
+        lambda x: let(normal_line(x), lambda y: F.struct(F.xxhash64(y).alias("line"), (F.length(y) - F.length(F.translate(y, " ", "")) + 1).alias("words"), (F.length(x) + 1).alias("chars"))),
     )
 
 
@@ -108,17 +108,17 @@ def has_word(line: Column) -> Column:
 
 
 def frequent_of_texts(df: DataFrame, host: str, text: str, least: int, share: float) -> DataFrame:
-    """_host, _doc, _bad (hashes of its frequent lines), lost (words on them), for each distinct text that has such lines."""
+    """_host, _doc, _bad (hashes of its frequent lines), lost and _gone (words on them, and code points with line ends), for each distinct text that has such lines."""
     docs = keyed(df.select(host, text), host, text)
     texts = saved(docs.groupBy("_host", "_doc").agg(F.count("*").alias("copies")), "texts")
-    lines = docs.select("_host", "_doc", F.explode(line_hashes(F.col(text))).alias("p")).select("_host", "_doc", F.col("p.line").alias("_line"), F.col("p.words").alias("words"))
+    lines = docs.select("_host", "_doc", F.explode(line_hashes(F.col(text))).alias("p")).select("_host", "_doc", F.col("p.line").alias("_line"), F.col("p.words").alias("words"), F.col("p.chars").alias("chars"))
     lines = saved(lines, "lines")  # hashes only; both the counting and the losses read them
     salt = F.pmod(F.xxhash64("_doc"), F.lit(SALTS))
     frequent = frequent_lines(lines, texts, least, share).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    lost = lines.withColumn("_salt", salt).join(frequent, ["_host", "_line", "_salt"]).groupBy("_host", "_doc", "_line").agg(F.sum("words").alias("words"))
-    lost = lost.groupBy("_host", "_doc").agg(F.collect_list("_line").alias("_bad"), F.sum("words").alias("lost"))  # no more than a text's own lines
+    lost = lines.withColumn("_salt", salt).join(frequent, ["_host", "_line", "_salt"]).groupBy("_host", "_doc", "_line").agg(F.sum("words").alias("words"), F.sum("chars").alias("chars"))
+    lost = lost.groupBy("_host", "_doc").agg(F.collect_list("_line").alias("_bad"), F.sum("words").alias("lost"), F.sum("chars").alias("_gone"))  # no more than a text's own lines
     # a text of several copies was summed as often
-    return lost.join(texts, ["_host", "_doc"]).select("_host", "_doc", "_bad", (F.col("lost") / F.col("copies")).cast("long").alias("lost"))
+    return lost.join(texts, ["_host", "_doc"]).select("_host", "_doc", "_bad", *[(F.col(c) / F.col("copies")).cast("long").alias(c) for c in ("lost", "_gone")])
 
 
 def marked(df: DataFrame, docs: DataFrame, host: str, text: str, least: int, share: float) -> DataFrame:
@@ -134,12 +134,12 @@ def left_text(text: Column, bad: Column) -> Column:
     return F.when(bad.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~(has_word(x) & F.array_contains(bad, F.xxhash64(normal_line(x))))), "\n"))
 
 
-OWN = ("_host", "_doc", "_salt", "_counts", "_bad", "lost", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "n_left_chars", "kept")
+OWN = ("_host", "_doc", "_salt", "_counts", "_bad", "_gone", "_chars", "lost", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "n_left_chars", "kept")
 
 
 def without_frequent_lines(df: DataFrame, host: str = "source", text: str = "text", least: int = 5, share: float = 0.01) -> DataFrame:
     """df with the frequent lines removed from its text; no row goes."""
-    df = df.drop("_host", "_doc", "_salt", "_bad", "lost")
+    df = df.drop("_host", "_doc", "_salt", "_bad", "_gone", "lost")
     return marked(df, df, host, text, least, share).withColumn(text, left_text(F.col(text), F.col("_bad"))).select(*df.columns)
 
 
@@ -148,10 +148,13 @@ def line_quality(
 ) -> DataFrame:
     """df's rows with the frequent lines removed from the text, the base counts of the whole text, n_lost_words, n_left_chars, kept; columns of the names used here are replaced."""
     df = df.drop(*OWN)
-    out = marked(df, base_counts(df, text), host, text, least, share).withColumn("n_lost_words", F.coalesce("lost", F.lit(0)))
-    out = out.withColumn(text, left_text(F.col(text), F.col("_bad"))).withColumn("n_left_chars", F.length(F.coalesce(text, F.lit(""))).cast("long"))
+    docs = base_counts(df, text).withColumn("_chars", F.length(F.coalesce(text, F.lit(""))).cast("long"))
+    out = marked(df, docs, host, text, least, share).withColumn("n_lost_words", F.coalesce("lost", F.lit(0)))
+    # from the lines' sums, so that whoever doesn't ask for the text needn't shuffle it
+    out = out.withColumn("n_left_chars", F.greatest(F.col("_chars") - F.coalesce("_gone", F.lit(0)), F.lit(0)))
+    out = out.withColumn(text, left_text(F.col(text), F.col("_bad")))
     depleted = F.col("n_lost_words") > max_lost * F.col("n_words")
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_host", "_doc", "_salt", "_bad", "lost")
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_host", "_doc", "_salt", "_bad", "_gone", "_chars", "lost")
 
 
 SQL = """
