@@ -43,7 +43,7 @@ def label_ranks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     points = table(spark, sf_dir, "embeddings")
     ranks = vectors.top_k(vector_queries(points), points, 30, exclude_self=True).withColumnRenamed("vec_id", "chunk_id")
     asked = points.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "label")
-    gold = points.select(F.col("vec_id").alias("chunk_id"), "label").join(F.broadcast(asked), "label").where("chunk_id != query_id")  # the query set
+    gold = points.select(F.col("vec_id").alias("chunk_id"), "label").join(asked, "label").where("chunk_id != query_id")
     return ranks, gold.select("query_id", (F.col("label") * 7 + F.col("chunk_id") % 7).alias("evidence_id"), "chunk_id", F.when(F.col("chunk_id") % 2 == 0, 1.0).otherwise(0.5).alias("gain"))
 
 
@@ -59,9 +59,8 @@ def rank_recall_precision_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over the full ranking of each query, by counting."""
     points = table(spark, sf_dir, "embeddings")
-    scores = vectors.all_scores(vector_queries(points), points).where("query_id != vec_id").withColumn("score", F.round("score", 9))
     _, gold = label_ranks(spark, sf_dir)
-    first = metrics.first_relevant_ranks(scores, gold.withColumnRenamed("chunk_id", "vec_id"), "vec_id")
+    first = vectors.first_relevant_ranks(vector_queries(points), points, gold.withColumnRenamed("chunk_id", "vec_id"))
     return first.select("query_id", F.col("rank").alias("first_rank"), F.round(1 / F.col("rank"), 6).alias("rr"))
 
 

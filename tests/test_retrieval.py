@@ -38,6 +38,27 @@ def test_top_k(spark, distance):
     assert {(r["query_id"], r["rank"]): r["vec_id"] for r in full} == {k: v[0] for k, v in got.items()}
 
 
+@pytest.mark.parametrize("distance", vectors.DISTANCES)
+@pytest.mark.parametrize("most", [vectors.MOST_BROADCAST, 64])
+def test_first_relevant_ranks(spark, monkeypatch, distance, most):
+    monkeypatch.setattr(vectors, "MOST_BROADCAST", most)  # 64: several blocks of queries, each written
+    _, df = points(spark)
+    q = df.where("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    gold = q.select("query_id").crossJoin(df.select("vec_id")).where("vec_id % 13 = query_id % 13 and query_id != 21")
+    scores = vectors.all_scores(q, df, distance).where("query_id != vec_id").withColumn("score", F.round("score", 9))
+    every = {(r["query_id"], r["vec_id"]): r["rank"] for r in vectors.ranked(scores).collect()}
+    want: dict = {}
+    for r in gold.where("query_id != vec_id").collect():
+        rank = every[r["query_id"], r["vec_id"]]
+        want[r["query_id"]] = min(rank, want.get(r["query_id"], rank))
+    got = {r["query_id"]: r["rank"] for r in vectors.first_relevant_ranks(q, df, gold, distance).collect()}
+    assert got == want and len(got) > 5
+    assert vectors.first_relevant_ranks(q, df, gold.limit(0), distance).count() == 0
+    top = {(r["query_id"], r["rank"]): r["vec_id"] for r in vectors.top_k(q, df, 7, distance).collect()}
+    full = vectors.ranked(vectors.all_scores(q, df, distance)).where("rank <= 7").collect()
+    assert top == {(r["query_id"], r["rank"]): r["vec_id"] for r in full}
+
+
 def test_top_k_rejects(spark):
     _, df = points(spark)
     q = df.select(F.col("vec_id").alias("query_id"), "embedding")
@@ -129,6 +150,16 @@ def test_auroc(spark, seed):
     want = sum((a < b) + (a == b) / 2 for a in ood for b in ind) / (len(ood) * len(ind))
     assert abs(metrics.auroc(spark.createDataFrame(rows, "score double, is_ood boolean")).first()[0] - want) < 1e-12
     assert metrics.auroc(spark.createDataFrame([(1.0, True)], "score double, is_ood boolean")).first()[0] is None
+    assert metrics.auroc(spark.createDataFrame([], "score double, is_ood boolean")).first()[0] is None
+
+
+def test_auroc_of_many_scores(spark):
+    """More distinct scores than parts."""
+    r = random.Random(5)
+    rows = [(round(r.gauss(float(o), 1), 3), o) for o in (r.random() < 0.3 for _ in range(3000))]
+    ood, ind = [s for s, o in rows if o], [s for s, o in rows if not o]
+    want = sum((a < b) + (a == b) / 2 for a in ood for b in ind) / (len(ood) * len(ind))
+    assert abs(metrics.auroc(spark.createDataFrame(rows, "score double, is_ood boolean")).first()[0] - want) < 1e-12
 
 
 def test_display(spark):
