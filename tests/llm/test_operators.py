@@ -452,3 +452,19 @@ def test_mixing_budgets(spark):
     assert n["big"] == 900 and 225 <= n["small"] <= 250
     given = mixing.mixed_documents(df, mixing.Mix(budget=20_000, block_tokens=500)).agg(F.sum("_tokens")).first()[0]
     assert 19_800 <= given <= 20_000
+
+
+def test_pipeline_stages_on_odd_rows(spark, data):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string"
+    rows = [(1, None, "en", "a", None, 0.1, "x"), (2, "", None, None, 0, None, None), (None, "call me at a.b@example.org now please", "en", "a", 5, 0.2, "y"), (4, "12 34 \u2014", "en", "a", 7, 0.3, "z")]
+    df = spark.createDataFrame(rows, schema)
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, df, data).collect()] == [None]
+    clean = corpus_pipeline.private(spark, df, data)
+    assert clean.columns == list(corpus_pipeline.COLUMNS)
+    got = {r["doc_id"]: r for r in clean.collect()}
+    assert len(got) == 4 and got[1]["text"] is None and got[1]["n_chars"] is None and got[2]["n_chars"] == 0 and got[4]["text"] == "12 34 \u2014"
+    assert "a.b@example.org" not in got[None]["text"] and got[None]["n_chars"] == len(got[None]["text"])
+    ids = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.encoded(spark, df, data).collect()}
+    assert ids[1] == ids[2] == 0 and ids[4] > 0
+    for stage in (corpus_pipeline.language, corpus_pipeline.private):
+        assert stage(spark, df.limit(0), data).count() == 0
