@@ -47,11 +47,23 @@ def gold_of(rows: DataFrame, chunks: DataFrame, strict: bool = True) -> tuple[Da
 
 
 def experiment(rows: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame, gold: DataFrame, ks: tuple[int, ...] = metrics.KS) -> tuple[DataFrame, DataFrame]:
-    """Per-question metrics (query_id, k, ...) of answerable questions, and each question's best chunk (query_id, score, is_ood, chunk_id)."""
-    ranks = vectors.ranked(vectors.all_scores(query_vectors, chunk_vectors, point="chunk_id"), "chunk_id")
+    """Per-question metrics (query_id, k, ...) of answerable questions, and each question's best chunk (query_id, score, is_ood, chunk_id).
+
+    Only the max(ks) nearest chunks of a question are ranked; where none of them is relevant, the rank of its first
+    relevant chunk among all is counted. A question or chunk without a vector takes no part; ties go to the greater chunk_id.
+    """
+    questions, chunks = vectors.numbered(query_vectors, "query_id"), vectors.numbered(chunk_vectors, "chunk_id")
+    questions = questions.withColumn("number", -1 - F.col("number"))  # no question is its own chunk
+    q = vectors.checkpointed(query_vectors.join(questions, "query_id").select(F.col("number").alias("query_id"), "embedding"))
+    p = vectors.checkpointed(chunk_vectors.join(chunks, "chunk_id").select(F.col("number").alias("vec_id"), "embedding"))
+    names = questions.withColumnRenamed("number", "_question")
+    near = vectors.top_k(q, p, max(ks)).withColumnRenamed("query_id", "_question")
+    ranks = vectors.checkpointed(near.join(names, "_question").join(chunks, F.col("vec_id") == F.col("number")).select("query_id", "chunk_id", "rank", "score"))
+    pairs = gold.select("query_id", "chunk_id").distinct().join(names, "query_id").join(chunks, "chunk_id").select(F.col("_question").alias("query_id"), F.col("number").alias("vec_id"))
+    first = vectors.first_relevant_ranks(q, p, pairs).withColumnRenamed("query_id", "_question").join(names, "_question").select("query_id", "rank")
     top1 = ranks.where("rank = 1").join(rows.select(F.col("id").alias("query_id"), (~F.col("answerable")).alias("is_ood")), "query_id").select("query_id", "score", "is_ood", "chunk_id")
     asked = ranks.join(rows.where("answerable").select(F.col("id").alias("query_id")), "query_id", "left_semi")
-    return metrics.question_metrics(asked, gold, ks), top1
+    return metrics.question_metrics(asked, gold, ks, first), top1
 
 
 def unmapped(rows: DataFrame, chunks: DataFrame, gold: DataFrame) -> DataFrame:

@@ -59,6 +59,28 @@ def test_first_relevant_ranks(spark, monkeypatch, distance, most):
     assert top == {(r["query_id"], r["rank"]): r["vec_id"] for r in full}
 
 
+def test_experiment_equals_a_full_ranking(spark):
+    r = np.random.default_rng(5)
+    vector = lambda: [float(x) for x in r.normal(size=4)]
+    chunks = [(f"c{i}", vector()) for i in range(80)]
+    chunks[9] = ("c9", chunks[8][1])
+    asked = [(f"q{i}", vector()) for i in range(12)]
+    asked[5] = ("q5", chunks[8][1])  # its two nearest chunks tie
+    queries = spark.createDataFrame(asked, "query_id string, embedding array<float>")
+    points_ = spark.createDataFrame(chunks, "chunk_id string, embedding array<float>")
+    rows = spark.createDataFrame([(f"q{i}", i % 4 > 0) for i in range(12)], "id string, answerable boolean")
+    gold = spark.createDataFrame([(f"q{i}", f"e{j}", f"c{int(r.integers(80))}", 1.0) for i in range(10) if i % 4 for j in range(2)], "query_id string, evidence_id string, chunk_id string, gain double")
+    found, top = evaluate.experiment(rows, queries, points_, gold, (1, 3))
+    full = vectors.ranked(vectors.all_scores(queries, points_, point="chunk_id"), "chunk_id")
+    want = metrics.question_metrics(full.join(rows.where("answerable"), F.col("id") == F.col("query_id"), "left_semi"), gold, (1, 3))
+    plain = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in df.select(sorted(df.columns)).collect())
+    assert plain(found) == plain(want)
+    assert any(0 < x["rr"] < 1 / 3 for x in found.collect())
+    best = full.where("rank = 1").select("query_id", "score", "chunk_id")
+    assert plain(top.drop("is_ood")) == plain(best)
+    assert {x["query_id"] for x in top.where("is_ood").collect()} == {"q0", "q4", "q8"}
+
+
 def test_top_k_rejects(spark):
     _, df = points(spark)
     q = df.select(F.col("vec_id").alias("query_id"), "embedding")
