@@ -13,7 +13,8 @@ no pair that shares a region in any tree is lost, and n documents of a family be
 comparisons once, not once a tree.
 
 In a region, signatures first drop what has no partner near the limit; then all pairs of the rest are compared on
-whole sets, by one matrix product, and a spanning forest of the true links leaves the task.
+whole sets, by one matrix product, and a spanning forest of the true links leaves the task. The sets are made there,
+from the texts: these are half as large when they move, and only texts that may take part move at all (narrowed()).
 
 Defined results: a text without words, or null, has no shingle and is linked with nothing; one of fewer words than
 a shingle has its whole sequence as the only one; a null doc_id stays alone; rows of one doc_id count by their texts,
@@ -40,6 +41,8 @@ REGION, STEP, HUBS, FURTHER = 128, 48, 4, 12
 ORDERS = 8
 #: Members and shingles of a block, about; a tile has two.
 BLOCK, WEIGHT = 512, 1 << 19
+#: Words of 64 bits of a set that is broadcast, at most, and members a word.
+WORDS, DENSE = 1 << 19, 2
 #: The band of a block whose members are of any size.
 ANY = -1
 XORS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64))
@@ -109,6 +112,20 @@ def first_depth(similarity: float, miss: float = 2e-5) -> int:
     return max([1, *(d for d in (2, 3, 4) if (1 - similarity**d) ** TREES <= miss)])
 
 
+def narrowed(rows: DataFrame, few: DataFrame, *on: str) -> DataFrame:
+    """rows without most of those that have no partner in few, a written table, so that fewer go through the join that must follow.
+
+    What few has is broadcast as one bit a row in WORDS words at most. Rows that meet another's bit stay too, more of
+    them the larger few is; no row with a partner goes.
+    """
+    words = min(WORDS, few.count() // DENSE + 1)
+    name = F.xxhash64(*on)
+    word, bit = F.pmod(name, F.lit(words)), F.pmod(F.shiftright(name, 40), F.lit(64)).cast("int")
+    held = few.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    met = rows.join(F.broadcast(held), word == F.col("_word")).where(F.call_function("shiftrightunsigned", F.col("_bits"), bit).bitwiseAND(F.lit(1)) == 1)
+    return met.select(*rows.columns)
+
+
 def with_sizes(rows: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
     """rows (tree, key, rep) with their region's size n. Regions of more than a task's share of the rows go by broadcast, the rest by a shuffle."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -120,18 +137,20 @@ def with_sizes(rows: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
     return rows.join(few, ["tree", "key"]).unionByName(rows.join(few, ["tree", "key"], "left_anti").join(sizes, ["tree", "key"]))
 
 
-def regions(reps: DataFrame, depth: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """tree, region, rep: the small regions whole and the windows of the large ones; and tree, key, rep, n: the large regions, if any."""
+def regions(reps: DataFrame, depth: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The representatives that share a region; tree, region, rep: the small regions whole and the windows of the large ones; and tree, key, rep, n: the large regions, if any."""
     at = lambda t, i: F.get("sig", F.lit((4 * t + i) % COORDINATES))
     keys = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), *[at(t, i) for i in range(depth)]).alias("key")) for t in range(TREES)])
     rows = reps.select("rep", F.explode(keys).alias("k")).select("k.tree", "k.key", "rep")
     sizes = scratch.save(rows.groupBy("tree", "key").agg(F.count("*").alias("n")).where("n > 1"))
-    members = scratch.save(with_sizes(rows, sizes, reps.count()))
+    members = scratch.save(with_sizes(narrowed(rows, sizes, "tree", "key"), sizes, reps.count()))
+    # a semi-join would be pushed below what narrows it
+    reps = scratch.save(narrowed(reps, members, "rep").join(members.select("rep").distinct(), "rep"))
     fit = members.where(F.col("n") <= REGION).select("tree", F.col("key").alias("region"), "rep")
     large = members.where(F.col("n") > REGION)
     if large.isEmpty():
-        return fit, None
-    return fit.unionByName(neighbours(large, reps, depth, scratch)), large
+        return reps, fit, None
+    return reps, fit.unionByName(neighbours(large, reps, depth, scratch)), large
 
 
 def neighbours(large: DataFrame, reps: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
@@ -299,12 +318,12 @@ def plausible(members: DataFrame, reps: DataFrame, similarity: float) -> DataFra
     return by_region(members.join(reps.select("rep", "sig"), "rep"), ["rep", "kin", "sig"], "tree int, region long, rep long, kin long", near)
 
 
-def true_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def true_links(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b: a spanning forest of the links between kins within each region, by whole sets (100 x intersection >= percent x union)."""
 
     def link(tree: int, region: int, table: pa.Table) -> pa.RecordBatch | None:
         rep, kin = table["rep"].to_numpy(), table["kin"].to_numpy()
-        sets_ = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        sets_ = [x for k in range(0, len(table), 128) for x in shingle_sets(table["text"].slice(k, 128).combine_chunks(), words)]
         n = len(sets_)
         size = np.fromiter(map(len, sets_), np.int64, n)
         flat, owner = np.concatenate(sets_), np.repeat(np.arange(n), size)
@@ -336,21 +355,20 @@ def true_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 front = linked[front].any(0) & ~seen
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
 
-    return by_region(members.join(sets, "rep"), ["rep", "kin", "shingles"], "a long, b long", link)
+    return by_region(members.join(texts, ["least", "c1"]), ["rep", "kin", "text"], "a long, b long", link)
 
 
-def sets_of(df: DataFrame, reps: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """rep, shingles (binary) of the representatives that take part. Of several texts of one doc_id, the one of the class is taken."""
+def texts_of(df: DataFrame, members: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
+    """least, c1, text, once each, for the members' doc_id (least) and class, and for a few others. Of several texts of one doc_id, the class tells which is meant."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(1).fill_null(""), words)
-            right = np.array([class_of(x)[0] for x in sets], np.int64) == batch.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[right]), pa.array([x.tobytes() for x, r in zip(sets, right, strict=True) if r], pa.binary())], ["rep", "shingles"])
+            c1 = [class_of(x)[0] for x in shingle_sets(batch.column(1).fill_null(""), words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c1, pa.int64()), batch.column(1)], ["least", "c1", "text"])
             trim()
 
-    chosen = df.select(F.col(doc_id).cast("long").alias("least"), F.col(text).alias("text")).join(reps.select("least", "rep", "c1"), "least")
-    return chosen.select("rep", "text", "c1").mapInArrow(make, "rep long, shingles binary")
+    rows = narrowed(df.select(F.col(doc_id).cast("long").alias("least"), F.col(text).alias("text")), members, "least")
+    return rows.mapInArrow(name, "least long, c1 long, text string").dropDuplicates(["least", "c1"])
 
 
 def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -360,17 +378,16 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_
     shared = ["c1", "c2", "n_shingles"]
     known = docs.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     # a class for each set, numbered once and written
-    classes = scratch.save(known.groupBy(shared).agg(F.min("doc_id").alias("least")).withColumn("rep", F.monotonically_increasing_id()))
-    reps = known.select(*shared, F.col("doc_id").alias("least"), "sig").join(classes, [*shared, "least"]).dropDuplicates(["rep"])
-    reps = scratch.save(reps)
+    classes = known.groupBy(shared).agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig")).withColumn("rep", F.monotonically_increasing_id())
+    classes = scratch.save(classes)
+    reps, parts, large = regions(classes, first_depth(similarity), scratch)
+    classes = classes.drop("sig")
 
     def links_of(candidates: DataFrame) -> DataFrame:
-        members = scratch.save(plausible(candidates, reps, similarity))
-        taking_part = members.select("rep").distinct()
-        sets = scratch.save(sets_of(df, reps.join(taking_part, "rep"), words, doc_id, text).dropDuplicates(["rep"]))
-        return true_links(members, sets, round(100 * similarity))
+        members = once(plausible(candidates, reps, similarity), scratch).join(reps.select("rep", "least", "c1"), "rep")
+        members = scratch.save(members)
+        return true_links(members, texts_of(df, members, words, doc_id, text), words, round(100 * similarity))
 
-    parts, large = regions(reps, first_depth(similarity), scratch)
     links = links_of(once(parts, scratch).withColumn("kin", F.col("rep")))
     # texts of one doc_id are one node
     several = known.groupBy("doc_id").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a != b").select("doc_id")

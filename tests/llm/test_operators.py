@@ -366,6 +366,34 @@ def test_texts_of_one_id_are_one_node(spark):
         assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
 
 
+def test_texts_without_a_partner_arent_shuffled(spark):
+    """What goes through shuffles is less than the texts, of which few have a partner; no link is lost by that."""
+    rows = [(i, " ".join(f"{random.Random(i).getrandbits(40):x}{k}" for k in range(400))) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(0, 600, 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    stages = lambda: {x.stageId(): x.shuffleWriteBytes() for x in (lambda a: [a.apply(i) for i in range(a.size())])(spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))}
+    before, name = stages(), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(name, "-1")
+    try:
+        got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(df, words=3, similarity=0.85).collect()}
+    finally:
+        spark.conf.unset(name)
+    assert got == {d: d - 1000 if d >= 1000 else d for d, _ in rows}
+    moved = sum(n for k, n in stages().items() if k not in before)
+    assert 0 < moved < sum(len(t) for _, t in rows) / 4
+
+
+def test_narrowed_keeps_all_partners(spark, monkeypatch):
+    few = spark.range(0, 3000, 3)
+    rows = spark.range(3000).withColumn("x", F.col("id") % 7).unionByName(spark.createDataFrame([(None, 1), (6, 9)], "id long, x long"))
+    for words in (neardup.WORDS, 1):
+        monkeypatch.setattr(neardup, "WORDS", words)
+        got = neardup.narrowed(rows, few, "id")
+        assert got.columns == rows.columns and got.where("id % 3 = 0").count() == 1001
+        assert got.count() < 1200 if words > 1 else got.count() <= 3002
+    assert neardup.narrowed(rows, few.where("false"), "id").count() == 0
+
+
 def test_pipeline_keeps_one_of_each_pair_in_a_family(spark, monkeypatch):
     monkeypatch.setattr(neardup, "REGION", 8)
     rows = templated(150, 5, 0.75, 0.82)
