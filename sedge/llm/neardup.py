@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import Scratch, drop_copies, mixed, saved, small_batches, trim, utf8, word_hashes
+from sedge.llm import common
+from sedge.llm.common import Scratch, drop_copies, light_join, mixed, saved, small_batches, trim, utf8, word_hashes
 from sedge.llm.components import components
 
 TREES, COORDINATES = 16, 64
@@ -127,7 +128,10 @@ def narrowed(rows: DataFrame, few: DataFrame, *on: str) -> DataFrame:
 
 
 def with_sizes(rows: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
-    """rows (tree, key, rep) with their region's size n. Regions of more than a task's share of the rows go by broadcast, the rest by a shuffle."""
+    """rows (tree, key, rep) of regions in sizes, with their region's size n. Regions of more than a task's share of the rows go by broadcast, or all if they are few; the rest by a shuffle."""
+    if sizes.count() <= common.LIGHT:
+        return rows.join(F.broadcast(sizes), ["tree", "key"])
+    rows = narrowed(rows, sizes, "tree", "key")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     most = max(REGION, TREES * total // (4 * parts))  # so at most 4 x parts regions are above it
     hot = sizes.where(F.col("n") > most).collect()
@@ -143,9 +147,10 @@ def regions(reps: DataFrame, depth: int, scratch: Scratch) -> tuple[DataFrame, D
     keys = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), *[at(t, i) for i in range(depth)]).alias("key")) for t in range(TREES)])
     rows = reps.select("rep", F.explode(keys).alias("k")).select("k.tree", "k.key", "rep")
     sizes = scratch.save(rows.groupBy("tree", "key").agg(F.count("*").alias("n")).where("n > 1"))
-    members = scratch.save(with_sizes(narrowed(rows, sizes, "tree", "key"), sizes, reps.count()))
+    members = scratch.save(with_sizes(rows, sizes, reps.count()))
+    met = scratch.save(members.select("rep").distinct())
     # a semi-join would be pushed below what narrows it
-    reps = scratch.save(narrowed(reps, members, "rep").join(members.select("rep").distinct(), "rep"))
+    reps = scratch.save(light_join(reps if met.count() <= common.LIGHT else narrowed(reps, met, "rep"), met, "rep"))
     fit = members.where(F.col("n") <= REGION).select("tree", F.col("key").alias("region"), "rep")
     large = members.where(F.col("n") > REGION)
     if large.isEmpty():
@@ -159,9 +164,9 @@ def neighbours(large: DataFrame, reps: DataFrame, depth: int, scratch: Scratch)
     Who shares the longest prefix stands next to each other, so the depth of a window is as great as the place is dense.
     """
     place = [F.pmod(4 * F.col("tree") + depth + i, F.lit(COORDINATES)) for i in range(FURTHER)]
-    scored = scratch.save(large.groupBy("rep").agg(F.count("*").alias("score")).join(reps.select("rep", "sig"), "rep"))
-    rows = large.where(F.col("tree") < ORDERS).join(scored, "rep").select("tree", "key", "rep", "score", F.array(*[F.get("sig", p) for p in place]).alias("order"))
-    rows = scratch.save(rows)
+    scored = large.groupBy("rep").agg(F.count("*").alias("score"), F.collect_list(F.struct("tree", "key")).alias("keys")).join(reps.select("rep", "sig"), "rep")
+    rows = scored.select("rep", "score", "sig", F.explode("keys").alias("k")).select("k.*", "rep", "score", "sig").where(F.col("tree") < ORDERS)
+    rows = scratch.save(rows.select("tree", "key", "rep", "score", F.array(*[F.get("sig", p) for p in place]).alias("order")))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, run, at = None, 0, 0  # the region being walked, its name in this part, and the rows passed
@@ -197,24 +202,28 @@ def once(members: DataFrame, scratch: Scratch) -> DataFrame:
     """One of the regions that have the same members."""
     members = scratch.save(members)
     names = members.groupBy("tree", "region").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "rep")).alias("y"), F.count("*").alias("n"))
-    chosen = names.groupBy("x", "y", "n").agg(F.min(F.struct("tree", "region")).alias("t")).select("t.tree", "t.region")
-    return members.join(chosen, ["tree", "region"])
+    chosen = scratch.save(names.groupBy("x", "y", "n").agg(F.min(F.struct("tree", "region")).alias("t")).select("t.tree", "t.region"))
+    return light_join(members, chosen, ["tree", "region"])
 
 
-def spread_join(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
-    """rows joined with few, which has one row at most for each 100 or so of rows; a key may be that of most rows."""
+def spread_join(rows: DataFrame, few: DataFrame, on: list[str], light: bool, how: str = "inner", by: str = "rep", salts: int = 16) -> DataFrame:
+    """rows joined with few, which has one row at most for each 100 or so of rows; a key may be that of most rows. light: few is small enough to be broadcast."""
+    if light:
+        return rows.join(F.broadcast(few), on, how)
     few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts))).join(few, [*on, "salt"], how).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts))).join(few, [*on, "salt"], how).drop("salt")
 
 
-def meetings(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """scope, ha, hb, ga, gb (their sizes), merged, for every two homes of which a region has members; merged: their regions together ask for more comparisons than the homes whole."""
-    cells = scratch.save(rows.groupBy("scope", "home").agg(F.count("*").alias("c")))
-    size = scratch.save(rows.select("home", "rep").distinct().groupBy("home").agg(F.count("*").alias("g")))
-    one = lambda x: cells.join(size, "home").select("scope", F.col("home").alias(f"h{x}"), F.col("c").cast("double").alias(f"c{x}"), F.col("g").alias(f"g{x}"))
-    met = scratch.save(one("a").join(one("b"), "scope").where("ha <= hb"))
-    both = met.groupBy("ha", "hb").agg((F.sum(F.col("ca") * F.col("cb")) >= F.first("ga").cast("double") * F.first("gb")).alias("merged"))
-    return scratch.save(met.join(both, ["ha", "hb"]).select("scope", "ha", "hb", "ga", "gb", "merged"))
+def met_homes(cells: DataFrame) -> DataFrame:
+    """scope, ha, hb, and ca, cb (members of theirs), ga, gb (their sizes), for every two homes of which a region has members. cells: scope, home, c, g."""
+    one = lambda x: cells.select("scope", F.col("home").alias(f"h{x}"), F.col("c").cast("double").alias(f"c{x}"), F.col("g").alias(f"g{x}"))
+    return light_join(one("a"), one("b"), "scope").where("ha <= hb")
+
+
+def weighed(met: DataFrame) -> DataFrame:
+    """ha, hb, ga, gb, merged: their regions together ask for more comparisons than the homes whole."""
+    both = met.groupBy("ha", "hb").agg(F.sum(F.col("ca") * F.col("cb")).alias("apart"), F.first("ga").alias("ga"), F.first("gb").alias("gb"))
+    return both.select("ha", "hb", "ga", "gb", (F.col("apart") >= F.col("ga").cast("double") * F.col("gb")).alias("merged"))
 
 
 def tiles(large: DataFrame, reps: DataFrame, found: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
@@ -223,39 +232,53 @@ def tiles(large: DataFrame, reps: DataFrame, found: DataFrame, similarity: float
     The large regions of a family are much alike from tree to tree. So each member has a home, the largest of its
     regions; homes that comparing whole is less work than region by region are merged and compared once, and only
     regions with other homes are compared by themselves.
+
+    What is decided comes from counts by region, home, kin and band, so that the members themselves move seldom.
     """
+    # no table of regions, homes or blocks has many more than a row for each REGION members
+    light = large.count() <= REGION * common.LIGHT
     # sets of a true link lie in one band of sizes or in neighbouring ones
     width = 1.001 * max(-math.log(max(similarity, 0.01)), 1e-3)
-    homes = large.groupBy("rep").agg(F.max(F.struct("n", "tree", "key")).alias("h")).select("rep", F.xxhash64("h.tree", "h.key").alias("home"))
+    scope = F.xxhash64("tree", "key")
+    homes = large.groupBy("rep").agg(F.max(F.struct("n", "tree", "key")).alias("h"), F.collect_list(scope).alias("scopes")).select("rep", "scopes", F.xxhash64("h.tree", "h.key").alias("home"))
     members = homes.join(reps.select("rep", "n_shingles"), "rep").join(found, "rep", "left")
-    members = members.select("rep", "home", "n_shingles", F.coalesce("component", "rep").alias("kin"), F.floor(F.log("n_shingles") / width).alias("band"))
-    rows = scratch.save(large.select(F.xxhash64("tree", "key").alias("scope"), "rep").join(members, "rep"))
-    several = rows.groupBy("scope").agg(F.min("kin").alias("least"), F.max("kin").alias("most")).where("least != most").select("scope")
-    rows = scratch.save(spread_join(rows, several, ["scope"]))
-    near = meetings(rows, scratch).where("merged").select("ha", "hb", "ga", "gb").distinct()
-    ends = near.select(F.col("ha").alias("home"), F.struct(F.col("gb").alias("g"), F.col("hb").alias("h")).alias("f")).unionByName(near.select(F.col("hb").alias("home"), F.struct(F.col("ga").alias("g"), F.col("ha").alias("h")).alias("f")))
-    families = ends.groupBy("home").agg(F.max("f").alias("f")).select("home", F.col("f.h").alias("family"))
-    rows = scratch.save(spread_join(rows, families, ["home"], "left").withColumn("home", F.coalesce("family", "home")).drop("family"))
-    met = meetings(rows, scratch)
-    scopes = scratch.save(met.groupBy("scope").agg(F.min("merged").alias("covered")))
+    rows = scratch.save(members.select(F.explode("scopes").alias("scope"), "rep", "home", "n_shingles", F.coalesce("component", "rep").alias("kin"), F.floor(F.log("n_shingles") / width).alias("band")))
+    cells = scratch.save(rows.groupBy("scope", "home").agg(F.count("*").alias("c"), F.min("kin").alias("least"), F.max("kin").alias("most")))
+    several = scratch.save(cells.groupBy("scope").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least != most").select("scope"))
+    # a home is a region too, that of all its members
+    size = cells.groupBy("home").agg(F.max("c").alias("g"))
+    cells = scratch.save(spread_join(spread_join(cells, several, ["scope"], light, by="home"), size, ["home"], light, by="scope").select("scope", "home", "c", "g"))
+    near = weighed(met_homes(cells)).where("merged")
+    ends = near.select(F.explode(F.array(*[F.struct(F.col(f"h{x}").alias("home"), F.struct(F.col(f"g{y}").alias("g"), F.col(f"h{y}").alias("h")).alias("f")) for x, y in ("ab", "ba")])).alias("e")).select("e.*")
+    families = scratch.save(ends.groupBy("home").agg(F.max("f").alias("f")).select("home", F.col("f.h").alias("family")))
+    cells = scratch.save(spread_join(cells, families, ["home"], light, "left", by="scope").withColumn("family", F.coalesce("family", "home")))
+    size = cells.groupBy("family", "home").agg(F.first("g").alias("g")).groupBy("family").agg(F.sum("g").alias("g"))
+    cells = cells.groupBy("scope", "family").agg(F.sum("c").alias("c")).join(size, "family").select("scope", F.col("family").alias("home"), "c", "g")
+    met = scratch.save(met_homes(cells))
+    met = scratch.save(met.join(weighed(met).drop("ga", "gb"), ["ha", "hb"]).select("scope", "ha", "hb", "merged"))
+    scopes = met.groupBy("scope").agg(F.min("merged").alias("covered"))
     # scope 0: homes whole; home 0: regions by themselves
     nought = F.lit(0).cast("long")
-    meets = met.join(scopes.where("covered"), "scope").select(nought.alias("scope"), "ha", "hb").distinct()
-    meets = scratch.save(meets.unionByName(scopes.where("not covered").select("scope", nought.alias("ha"), nought.alias("hb"))))
+    meets = met.join(scopes, "scope").select(F.when(F.col("covered"), nought).otherwise(F.col("scope")).alias("scope"), *[F.when(F.col("covered"), F.col(h)).otherwise(nought).alias(h) for h in ("ha", "hb")])
+    meets = scratch.save(meets.distinct())
     sides = meets.select("scope", F.explode(F.array_distinct(F.array("ha", "hb"))).alias("home")).distinct()
-    rows = rows.drop("scope").distinct().withColumn("scope", nought).unionByName(rows.withColumn("home", nought))
-    rows = scratch.save(spread_join(rows, sides, ["scope", "home"]).select("scope", "home", "rep", "kin", "band", "n_shingles"))
+    rows = spread_join(spread_join(rows, several, ["scope"], light), families, ["home"], light, "left").withColumn("home", F.coalesce("family", "home")).drop("family")
+    rows = rows.withColumn("at", F.explode(F.array(F.struct(nought.alias("scope"), "home"), F.struct("scope", nought.alias("home"))))).select("at.*", "rep", "kin", "band", "n_shingles")
+    rows = scratch.save(spread_join(rows, sides, ["scope", "home"], light).distinct())
     # a kin of many members has blocks of its own, which needn't meet each other
-    many = rows.groupBy("scope", "home", "kin").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK).select("scope", "home", "kin", F.lit(True).alias("many"))
-    rows = spread_join(rows, many, ["scope", "home", "kin"], "left").withColumn("pure", F.coalesce("many", F.lit(False))).withColumn("of", F.when(F.col("pure"), F.col("kin")).otherwise(0))
-    rows = scratch.save(rows.drop("many"))
+    counts = scratch.save(rows.groupBy("scope", "home", "kin", "band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w")))
+    many = scratch.save(counts.groupBy("scope", "home", "kin").agg(F.sum("n").alias("n")).where(F.col("n") >= BLOCK).select("scope", "home", "kin", F.lit(True).alias("pure")))
+    lot = ["scope", "home", "pure", "of"]
+    in_lots = lambda x: x.withColumn("pure", F.coalesce("pure", F.lit(False))).withColumn("of", F.when(F.col("pure"), F.col("kin")).otherwise(0))
+    shares = in_lots(counts.join(many, ["scope", "home", "kin"], "left")).groupBy(*lot, "band").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    shares = scratch.save(shares)
     # what doesn't fill a block isn't parted by bands
-    lot, share = ["scope", "home", "pure", "of"], ["scope", "home", "pure", "of", "band"]
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / WEIGHT))
-    parted = rows.groupBy(lot).agg(blocks.alias("n")).where("n > 1").select(*lot, F.lit(True).alias("parted"))
-    rows = scratch.save(spread_join(rows, parted, lot, "left").withColumn("band", F.when(F.col("parted"), F.col("band")).otherwise(ANY)).drop("parted"))
-    several = rows.groupBy(share).agg(blocks.alias("blocks")).where("blocks > 1")
-    rows = spread_join(rows, several, share, "left").withColumn("block", F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))))
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / WEIGHT))
+    parted = shares.groupBy(lot).agg(blocks(F.sum("n"), F.sum("w")).alias("all")).where(F.col("all") > 1).drop("all")
+    parted = shares.join(parted, lot).select(*lot, "band", blocks(F.col("n"), F.col("w")).alias("blocks"))
+    rows = in_lots(spread_join(rows, many, ["scope", "home", "kin"], light, "left"))
+    rows = spread_join(rows, parted, [*lot, "band"], light, "left").withColumn("band", F.when(F.col("blocks").isNull(), ANY).otherwise(F.col("band")))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))))
     rows = scratch.save(rows.select("scope", F.struct("home", "pure", "of", "band", "block").alias("at"), "rep", "kin"))
     held = rows.select("scope", "at").distinct()
     a, b = F.col("a"), F.col("b")
@@ -300,7 +323,7 @@ def by_region(rows: DataFrame, columns: list[str], schema: str, work: Callable[[
 
 
 def plausible(members: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """The members that have a partner of another kin in their region whose signature is within five deviations of the limit."""
+    """tree, region, rep, kin, least, c1: the members that have a partner of another kin in their region whose signature is within five deviations of the limit; of regions that are left with the same members, one."""
     cut = similarity - 5 * math.sqrt(similarity * (1 - similarity) / COORDINATES)
 
     def near(tree: int, region: int, table: pa.Table) -> pa.RecordBatch | None:
@@ -312,10 +335,14 @@ def plausible(members: DataFrame, reps: DataFrame, similarity: float) -> DataFra
             good[i] = (alike & (kin != kin[i])).any()
         if not good.any():
             return None
-        n = int(good.sum())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, tree, np.int32)), pa.array(np.full(n, region)), pa.array(rep[good]), pa.array(kin[good])], ["tree", "region", "rep", "kin"])
+        left = table.drop_columns(["tree", "region", "sig"]).filter(pa.array(good)).combine_chunks().to_struct_array().combine_chunks()
+        names = mixed(rep[good].view(np.uint64))
+        x, y = (np.array([f(h)], np.uint64).view(np.int64) for f, h in ((np.bitwise_xor.reduce, names), (np.add.reduce, mixed(names))))
+        return pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), pa.array([region]), pa.array(x), pa.array(y), pa.ListArray.from_arrays(pa.array([0, len(left)], pa.int32()), left)], ["tree", "region", "x", "y", "members"])
 
-    return by_region(members.join(reps.select("rep", "sig"), "rep"), ["rep", "kin", "sig"], "tree int, region long, rep long, kin long", near)
+    rows = by_region(members.join(reps.select("rep", "least", "c1", "sig"), "rep"), ["rep", "kin", "least", "c1", "sig"], "tree int, region long, x long, y long, members array<struct<rep: long, kin: long, least: long, c1: long>>", near)
+    chosen = rows.groupBy("x", "y", F.size("members").alias("n")).agg(F.first(F.struct("tree", "region", "members")).alias("t"))
+    return chosen.select("t.tree", "t.region", F.explode("t.members").alias("m")).select("tree", "region", "m.*")
 
 
 def true_links(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -384,21 +411,21 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_
     classes = classes.drop("sig")
 
     def links_of(candidates: DataFrame) -> DataFrame:
-        members = once(plausible(candidates, reps, similarity), scratch).join(reps.select("rep", "least", "c1"), "rep")
-        members = scratch.save(members)
+        members = scratch.save(plausible(candidates, reps, similarity))
         return true_links(members, texts_of(df, members, words, doc_id, text), words, round(100 * similarity))
 
     links = links_of(once(parts, scratch).withColumn("kin", F.col("rep")))
     # texts of one doc_id are one node
-    several = known.groupBy("doc_id").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a != b").select("doc_id")
-    texts = known.join(several, "doc_id").join(classes, shared).select("doc_id", "rep").distinct()
-    links = links.unionByName(texts.join(texts.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b"))
+    several = scratch.save(known.groupBy("doc_id").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a != b").select("doc_id"))
+    if not several.isEmpty():
+        texts = known.join(several, "doc_id").join(classes, shared).select("doc_id", "rep").distinct()
+        links = links.unionByName(texts.join(texts.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b"))
     found = components(links).withColumnRenamed("node", "rep")
     if large is not None:
         more = scratch.save(links_of(tiles(large, reps, found, similarity, scratch)))
         if not more.isEmpty():
             found = components(found.select(F.col("rep").alias("a"), F.col("component").alias("b")).unionByName(more)).withColumnRenamed("node", "rep")
-    named = classes.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = light_join(classes, found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = saved(named.join(least, "component").select(*shared, "component_id"), "groups")
     scratch.clear()

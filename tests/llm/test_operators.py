@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sedge.llm import bpe, components, digest, huffman, langid, lines, mixing, neardup, pii, repeats, suffixes, toxicity
+from sedge.llm import bpe, common, components, digest, huffman, langid, lines, mixing, neardup, pii, repeats, suffixes, toxicity
 from sedge.llm.common import shared_dir
 from sedge.llm.entries import tokenizer_path
 
@@ -415,6 +415,26 @@ def test_components(spark):
         assert got == {i: label[i] for i in {x for a, b in links if a != b for x in (a, b)}}
 
 
+def test_components_end_when_links_are_stars(spark, monkeypatch):
+    """No further round is written to see that nothing changes."""
+    written, save = [], components.Scratch.save
+    monkeypatch.setattr(components.Scratch, "save", lambda self, df: written.append(0) or save(self, df))
+    got = {x["node"]: x["component"] for x in components.components(spark.createDataFrame([(1, 2), (3, 1), (7, 5)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 5: 5, 7: 5} and len(written) == 1
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_many_links(spark, monkeypatch):
+    """Beyond what is broadcast."""
+    monkeypatch.setattr(common, "LIGHT", 0)
+    test_components(spark)
+
+
+def test_near_duplicates_beyond_what_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "LIGHT", 0)
+    test_near_duplicates_in_a_family_below_the_limit(spark, monkeypatch)
+
+
 def test_suffix_array():
     r = random.Random(2)
     for _ in range(800):
